@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
+from .sharding import op8_sharding
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
+}
