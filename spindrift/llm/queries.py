@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
+from .pii import op10_pii_sanitise
 from .sharding import op8_sharding
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii_sanitise": op10_pii_sanitise,
 }
 
 ORACLE_SQL: dict[str, str] = {
