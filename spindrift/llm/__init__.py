@@ -2,3 +2,10 @@
 
 Nothing outside this subpackage imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so the package needs no installing there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .isolation import op5_isolation_forest
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
 from .pii import op10_pii_sanitise
@@ -9,6 +10,7 @@ from .sharding import op8_sharding
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op5_isolation_forest": op5_isolation_forest,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii_sanitise": op10_pii_sanitise,
