@@ -1,0 +1,30 @@
+"""Connected components of a table of links, by DataFrame operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise, remove
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: a, b (any ordered type). Returns node, component (the least node reachable) for every linked node.
+
+    Each round a node takes the least label among its own and its neighbours', then the
+    label of that label, so a label's way halves at least; rounds are written out, so a
+    lost executor costs one round at most. Nothing is gathered on the driver but the
+    number of labels that changed.
+    """
+    both = materialise(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
+    while True:
+        near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        low = label.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "m").alias("l"))
+        jump = label.select(F.col("a").alias("l"), F.col("l").alias("j"))
+        new = materialise(low.join(jump, "l", "left").select("a", "old", F.least("l", F.coalesce("j", "l")).alias("l")), "labels")
+        changed = new.where("l <> old").limit(1).count()
+        remove(label)
+        label = new.select("a", "l")
+        if not changed:
+            return label.select(F.col("a").alias("node"), F.col("l").alias("component"))

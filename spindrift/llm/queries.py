@@ -7,10 +7,12 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
 from .pii import op10_pii_sanitise
 from .sharding import op8_sharding
+from .simhash import op7_simhash
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op5_isolation_forest": op5_isolation_forest,
+    "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii_sanitise": op10_pii_sanitise,
