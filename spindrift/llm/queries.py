@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .isolation import op5_isolation_forest
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
@@ -12,6 +13,7 @@ from .simhash import op7_simhash
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op5_isolation_forest": op5_isolation_forest,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
