@@ -9,9 +9,11 @@ from .mixing import op1_mixing
 from .pii import op10_pii_sanitise
 from .sharding import op8_sharding
 from .simhash import op7_simhash
+from .tokens import op4_repair_tokens
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_repair_tokens": op4_repair_tokens,
     "op5_isolation_forest": op5_isolation_forest,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
