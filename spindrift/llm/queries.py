@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontamination
 from .isolation import op5_isolation_forest
+from .language import op2_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
 from .pii import op10_pii_sanitise
@@ -13,6 +14,7 @@ from .tokens import op4_repair_tokens
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op4_repair_tokens": op4_repair_tokens,
     "op5_isolation_forest": op5_isolation_forest,
     "op6_decontamination": op6_decontamination,
