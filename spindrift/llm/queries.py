@@ -11,10 +11,12 @@ from .pii import op10_pii_sanitise
 from .sharding import op8_sharding
 from .simhash import op7_simhash
 from .tokens import op4_repair_tokens
+from .warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_repair_tokens": op4_repair_tokens,
     "op5_isolation_forest": op5_isolation_forest,
     "op6_decontamination": op6_decontamination,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
 }
