@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import curation, evaluation, manifest
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (manifest, curation, evaluation):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.SQL
