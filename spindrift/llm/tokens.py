@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path, table
 from .sharding import MAX_RANGES, sampled_splitters, with_range
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: A pair is frequent from this count on; a round takes pairs of at least 1 / ROUND of the top count.
 LEAST_PAIRS, ROUND = 24, 32
-#: Words that a worker keeps; the first ones met are the commonest, so later ones aren't kept.
-CACHE_WORDS = 1_000_000
+#: Words that a worker keeps, at some 35 bytes each, and the longest of them in bytes.
+CACHE_WORDS, LONGEST = 2_000_000, 40
+JOINED = 100
 #: White space beyond single spaces and line breaks between other characters: such texts are encoded whole.
 _ODD = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
@@ -45,78 +47,147 @@ def odd_space(text: str) -> bool:
     return any(x in text for x in _ODD) or text[:1].isspace() or text[-1:].isspace()
 
 
+class Words:
+    """Ids of words met before, found by 128 bits of hash: sorted arrays, so that a million words take some 35 MB."""
+
+    def __init__(self, dtype: str):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.data = np.zeros(1 << 16, dtype)
+        self.used = 0
+
+    @staticmethod
+    def hashed(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two polynomial hashes of each of many short byte strings that lie in one buffer, over their first LONGEST bytes."""
+        size = np.minimum(np.diff(offsets), LONGEST)
+        order = np.argsort(-size, kind="stable")
+        start, size = offsets[:-1][order], size[order]
+        alive = np.searchsorted(-size, -np.arange(LONGEST), "left")  # strings of more than i bytes
+        a, b = size.astype(np.uint64), size.astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            for i, n in enumerate(alive.tolist()):
+                if not n:
+                    break
+                byte = data[start[:n] + i].astype(np.uint64) + np.uint64(1)
+                a[:n] = (a[:n] ^ byte) * np.uint64(0x9E3779B97F4A7C15)
+                a[:n] ^= a[:n] >> np.uint64(29)
+                b[:n] = b[:n] * np.uint64(0xD6E8FEB86659FD93) + byte
+            b ^= b >> np.uint64(32)
+        key, check = np.empty_like(a), np.empty_like(b)
+        key[order], check[order] = a, b
+        return key, check
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is there, and where."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[at] == key) & (self.check[at] == check), at
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.data):
+            self.data = np.append(self.data, np.zeros_like(self.data))
+        self.data[self.used : self.used + len(ids)] = ids
+        order = np.argsort(key, kind="stable")
+        into = np.searchsorted(self.key, key[order])
+        self.key, self.check = np.insert(self.key, into, key[order]), np.insert(self.check, into, check[order])
+        self.at = np.insert(self.at, into, (start + self.used)[order].astype(np.int32))
+        self.n = np.insert(self.n, into, (stop - start)[order].astype(np.uint16))
+        self.used += len(ids)
+
+
 class Encoder:
-    """Texts to ids by a tokenizers file, each text's as bytes of little-endian integers of the given type."""
+    """Texts to ids of the given little-endian type by a tokenizers file."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text can't inject special ids
         self.dtype = dtype
-        pre = self.tokenizer.pre_tokenizer
-        self.by_word = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
-        if self.by_word:
-            broken = self.tokenizer.encode("\n", add_special_tokens=False).ids
-            self.by_word, self.line_break = len(broken) == 1, broken[0]
-        # kept with the library, which lives as long as the worker: later tasks find it filled
-        self.cache: dict[str, bytes] = tokenizers.__dict__.setdefault("_word_ids", {}).setdefault((path, dtype), {"\n": np.array([self.line_break], dtype).tobytes()} if self.by_word else {})
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, self.dtype).tobytes() for ids in self._fast(texts)]
+        # kept with the library, which lives as long as the worker: later shards find the file read and words known
+        kept = tokenizers.__dict__.setdefault("_kept", {})
+        if (path, dtype) not in kept:
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True  # a text can't inject special ids
+            pre = tokenizer.pre_tokenizer
+            broken = tokenizer.encode("\n", add_special_tokens=False).ids
+            by_word = tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and len(broken) == 1
+            kept[path, dtype] = tokenizer, by_word, broken[0] if broken else None, Words(dtype)
+        self.tokenizer, self.by_word, self.line_break, self.known = kept[path, dtype]
 
     def _fast(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, with the space or line break that stands before each, encoded many at a time with a line break between them."""
-        out: dict[str, bytes] = {}
-        for e, part in zip(self._fast([self._joined(words[i : i + 500]) for i in range(0, len(words), 500)]), range(0, len(words), 500), strict=True):
-            own = words[part : part + 500]
-            ids = np.array(e, self.dtype)
-            cuts = np.flatnonzero(ids == self.line_break)
-            if len(cuts) != len(own):
-                out.update(zip(own, self._ids([w if w[:1] == "\n" else f" {w}" for w in own]), strict=True))
-                continue
-            ends = np.append(cuts[1:], len(ids)).tolist()
-            out.update((w, ids[a + (w[:1] != "\n") : b].tobytes()) for w, a, b in zip(own, cuts.tolist(), ends, strict=True))
-        return out
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, with the space or line break that stands before each: one array, and each word's start and stop in it.
+
+        Many words are encoded as one text with a line break between them.
+        """
+        whole = self._fast([self._joined(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        ids = np.array(list(chain.from_iterable(whole)), self.dtype)
+        cuts = np.flatnonzero(ids == self.line_break)
+        if len(cuts) != len(words):  # a tokenizer that gives line breaks no id of their own
+            each = self._fast([w if w[:1] == "\n" else f" {w}" for w in words])
+            stop = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+            return np.array(list(chain.from_iterable(each)), self.dtype), np.append(0, stop[:-1]), stop
+        broken = np.fromiter((w[:1] == "\n" for w in words), bool, len(words))
+        return ids, cuts + ~broken, np.append(cuts[1:], len(ids))
 
     @staticmethod
     def _joined(words: list[str]) -> str:
         return "".join([w if w[:1] == "\n" else f"\n {w}" for w in words])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._ids(texts)
-        odd = [i for i, t in enumerate(texts) if odd_space(t)]
-        out = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
-        # parts that the pre-tokenizer never joins; later ones stand for themselves after a space, or begin with a line break
-        split = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if i not in out}
-        firsts = self._ids([s[0] for s in split.values()])
-        known = self.cache
-        new = list({w for s in split.values() for w in s[1:]}.difference(known))
-        if new:
-            learnt = self._learn(new)
-            if len(known) < CACHE_WORDS:
-                known.update(learnt)
-            else:
-                known = Both(known, learnt)
-        for (i, s), first in zip(split.items(), firsts, strict=True):
-            out[i] = first + b"".join([known[w] for w in s[1:]])
-        return [out[i] for i in range(len(texts))]
-
-
-class Both(dict):
-    """The new words of a batch, and those known before."""
-
-    def __init__(self, known: dict[str, bytes], new: dict[str, bytes]):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and how many each has.
+
+        Words are told apart and numbered outside Python; Python sees each distinct word once.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        odd = [not self.by_word or odd_space(t) for t in texts]
+        split = pc.split_pattern(pa.array(["" if o else t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
+        words = pc.list_flatten(split).dictionary_encode()
+        names, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        del words
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+        # a text's first word has no space before it, and an odd text is one word: both are encoded as they stand
+        whole = self._fast([t if o else t.replace("\n", " \n").split(" ", 1)[0] for t, o in zip(texts, odd, strict=True)])
+        _, offsets, raw = names.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[names.offset : names.offset + len(names) + 1]
+        key, check = Words.hashed(offsets, np.frombuffer(raw or b"", np.uint8))
+        there, place = self.known.find(key, check)
+        length = np.diff(offsets)
+        there &= length <= LONGEST
+
+        # what a code stands for: names, then each text's own first word, then the end id
+        at, n = (np.empty(len(names) + len(texts) + 1, np.int64) for _ in range(2))
+        old, new = np.flatnonzero(there & (length > 0)), np.flatnonzero(~there & (length > 0))
+        at[: len(names)], n[: len(names)] = 0, 0  # what an empty or odd text splits into has no ids
+        at[old], n[old] = self.known.at[place[old]], self.known.n[place[old]]
+        own = np.array([*chain.from_iterable(whole), end_id], self.dtype)
+        size = np.fromiter(map(len, [*whole, [end_id]]), np.int64, len(whole) + 1)
+        base = self.known.used
+        at[len(names) :], n[len(names) :] = base + np.cumsum(size) - size, size
+        learnt = np.zeros(0, self.dtype)
+        if len(new):
+            learnt, start, stop = self._learn(names.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+            at[new], n[new] = base + len(own) + start, stop - start
+        data = np.concatenate([self.known.data[:base], own, learnt])
+        if len(new) and len(self.known.key) < CACHE_WORDS:
+            short = (length <= LONGEST)[new]
+            self.known.add(key[new][short], check[new][short], learnt, start[short], stop[short])
+        code[first] = len(names) + np.arange(len(texts))
+        code = np.insert(code, np.append(first[1:], len(code)), len(at) - 1)
+        first = first + np.arange(len(texts))
+        at, n = at[code], n[code]
+        ends = np.cumsum(n)
+        kind = np.int32 if ends[-1] < 1 << 31 and len(data) < 1 << 31 else np.int64  # a shard is small
+        place = np.repeat((at - (ends - n)).astype(kind), n)
+        place += np.arange(ends[-1], dtype=kind)
+        return data[place], np.add.reduceat(n, first)
 
 
 def repair(ids: np.ndarray, first_free: int, end: int, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,14 +302,12 @@ def write_shards(
 
     def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_k1", "_k2"], kind="stable")
-        encoder, end = Encoder(tokenizer, symbol), np.array([end_id], symbol).tobytes()
-        parts = [ids + end for i in range(0, len(pdf), 256) for ids in encoder.encode(pdf["_text"].iloc[i : i + 256].tolist())]
-        ids = np.frombuffer(b"".join(parts), symbol)
+        ids, doc_tokens = Encoder(tokenizer, symbol).encode(pdf["_text"].tolist(), end_id)
         s, left, right = repair(ids, vocabulary, 1 << 16 if width == 2 else 1 << 32)
         row = {
             "shard": key[0],
             "doc_ids": [None if x is None or x != x else int(x) for x in pdf["_id"]],
-            "doc_tokens": [len(p) // width for p in parts],
+            "doc_tokens": doc_tokens,
             "first_free": vocabulary,
             "width": width,
             "rule_left": left.astype(symbol).tobytes(),
