@@ -62,6 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df's rows as one struct column, _row: whatever names they hold can't clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
 def seeded(seed: int, *cols: Column) -> Column:
     """A 53-bit uniform integer fixed by seed and columns."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)

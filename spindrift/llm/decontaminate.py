@@ -16,8 +16,8 @@ passage. Items of fewer words than a seed match where their whole sequence occur
 
 Defined results: a null or empty text is clean, coverage 0 and no item; null or wordless
 items match nothing; of items of equal coverage the least item_id counts; repeated rows
-are judged alike; an empty table or benchmark gives clean rows or none; further columns
-are carried, the operator's own names start with _op6.
+are judged alike; an empty table or benchmark gives clean rows or none; the stage carries
+further columns of any name, `coverage` adds _op6 to those it is given.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 SEED_WORDS, LEAST_TILE, COVERAGE = 5, 3, 0.8
 #: Words of the benchmark that go to the executors at once.
@@ -180,4 +180,4 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without the contaminated ones."""
-    return coverage(docs, table(spark, sf_dir, "benchmark")).where(~contaminated()).select(*docs.columns)
+    return coverage(packed(docs), table(spark, sf_dir, "benchmark"), text_col="_row.text").where(~contaminated()).select("_row.*")

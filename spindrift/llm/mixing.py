@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, seeded, word_count
+from .common import materialise, packed, seeded, word_count
 
 #: Patterns that the driver solves for; each is a set of sources, not a document.
 MAX_PATTERNS = 200_000
@@ -151,12 +151,15 @@ def mix(
     weights: tuple[float, ...] = (5, 2, 1),
     max_repeats: int = 3,
     seed: int = 1,
+    write_rows: bool = True,
 ) -> Mix:
     """Take documents so that each source's words come near its target.
 
     members: array of the sources a document belongs to. keep: columns of docs to carry.
     weights: dealt to the sources in code point order, null last, repeating. A target is
-    a share of all words, at most max_repeats times what the source holds.
+    a share of all words, at most max_repeats times what the source holds. write_rows:
+    write the kept columns down with the sizes, so that texts are read and counted once;
+    not worth it if the texts themselves are kept.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -166,7 +169,7 @@ def mix(
         seeded(seed, F.col(id_col)).alias("_mix_order"),
         F.col(id_col).alias("_mix_id"),
     )
-    if text_col not in keep:  # narrow rows: don't read and count the texts twice
+    if write_rows:
         rows = materialise(rows, "mix")
     found = rows.groupBy("_mix_pattern").agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -226,5 +229,5 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with each row as often as the mix takes it."""
-    found = mix(docs, F.array("source"), keep=docs.columns)
-    return found.documents.withColumn("_mix_copy", F.explode("_mix_routed")).select(*docs.columns)
+    found = mix(packed(docs), F.array("_row.source"), keep=["_row"], id_col="_row.doc_id", text_col="_row.text", write_rows=False)
+    return found.documents.select("_row", F.explode("_mix_routed")).select("_row.*")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, packed, table
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -186,14 +186,13 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the least doc_id (of several rows with it, one)."""
-    printed = docs.withColumn("_op7_fp", fingerprints("text"))
-    prints = materialise(printed.select(F.col("doc_id").alias("_id"), F.col("_op7_fp").alias("fp")), "prints")
+    printed = packed(docs).withColumn("_fp", fingerprints("_row.text")).withColumn("_doc", F.col("_row.doc_id"))
+    prints = materialise(printed.select(F.col("_doc").alias("_id"), F.col("_fp").alias("fp")), "prints")
     groups = near_groups(prints)
     # rows that have the least id of their group: more than one only where ids repeat or are null
     firsts = prints.join(groups, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
     firsts = firsts.groupBy("component", "fp").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("id"))
-    firsts = firsts.groupBy("component").agg(F.min(F.struct("fp", "n", "id")).alias("_op7_one")).select("_op7_one")
-    here = printed["_op7_fp"] == firsts["_op7_one.fp"]
-    kept = printed.join(firsts, here & printed["doc_id"].eqNullSafe(firsts["_op7_one.id"]))
-    several = kept.where("_op7_one.n > 1").dropDuplicates(["_op7_fp"])
-    return kept.where("_op7_one.n = 1").unionByName(several).select(*docs.columns)
+    firsts = firsts.groupBy("component").agg(F.min(F.struct("fp", "n", "id")).alias("one")).select("one.*")
+    kept = printed.join(firsts, (printed["_fp"] == firsts["fp"]) & printed["_doc"].eqNullSafe(firsts["id"]))
+    several = kept.where("n > 1").dropDuplicates(["_fp"])
+    return kept.where("n = 1").unionByName(several).select("_row.*")
