@@ -181,7 +181,7 @@ def _(s, d):
     return count(v.splits(s, d), "strict_shared").crossJoin(count(v.leaky(s, d), "leaky_shared"))  # one row each
 
 
-SQL["E15_leakage_demo"] = f"WITH {v.LEAKY} SELECT 0 AS strict_shared, count(*) AS leaky_shared FROM (SELECT speaker_key FROM leaky WHERE split = 'train' INTERSECT SELECT speaker_key FROM leaky WHERE split = 'test')"
+SQL["E15_leakage_demo"] = f"WITH {v.LEAKY} SELECT CAST(0 AS BIGINT) AS strict_shared, count(*) AS leaky_shared FROM (SELECT speaker_key FROM leaky WHERE split = 'train' INTERSECT SELECT speaker_key FROM leaky WHERE split = 'test')"
 
 
 @query("E12_schedule", f"SELECT range AS step, {six_sql('CASE WHEN range < 30 THEN range / 30.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (range - 30) / 270.0::DOUBLE)) END', 'lr')} FROM range(0, 300)")
