@@ -81,6 +81,7 @@ def test_greedy_near_duplicates(spark):
         if i % 4:
             base[rng.randrange(8)] = rng.choice(words) if rng.random() < 0.6 else base[0]
         rows.append((f"c{i:03d}", round(rng.choice([5.0, 5.2, 5.4, 5.9, 6.3]), 2), " ".join(base)))
+    rows += [(f"copy{i}", rows[7][1], rows[7][2] + " ") for i in range(12)] + [("none1", 5.0, " "), ("none2", 5.0, "")]
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     gone = set()
     for i, a in enumerate(order):
@@ -88,7 +89,7 @@ def test_greedy_near_duplicates(spark):
             continue
         for b in order[i + 1 :]:
             x, y = set(a[2].split()), set(b[2].split())
-            if b[0] not in gone and b[1] - a[1] <= 0.5 and len(x & y) / len(x | y) >= 0.8:
+            if b[0] not in gone and b[1] - a[1] <= 0.5 and x | y and len(x & y) / len(x | y) >= 0.8:
                 gone.add(b[0])
     df = spark.createDataFrame(rows, "clip_id string, duration_s double, transcript string").withColumns({"status": F.lit("accepted"), "reject_reason": F.lit(None).cast("string")})
     found = {r["clip_id"] for r in dedup.reject_near_duplicates(df).where("status = 'rejected'").collect()}
