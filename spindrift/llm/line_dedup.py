@@ -60,6 +60,7 @@ class LineRuns:
         return name
 
     def _drop(self, name: str) -> None:
+        remove(self.spark.table(name))  # the table's own entry doesn't hold its files
         self.spark.sql(f"DROP TABLE {name}")
 
     def runs(self) -> list[DataFrame]:

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialise, packed, table
-from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a block (8 bytes each) and of a tile inside it.
@@ -172,7 +172,7 @@ def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints: _id, fp. Returns fp, component (a fingerprint that names it) and component_id (the least _id in reach) for each distinct fp."""
     firsts = materialise(prints.groupBy("fp").agg(F.min("_id").alias("first")), "fps")
-    reach = components(links_within(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
+    reach = connected_components(links_within(firsts.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
     labelled = firsts.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return labelled.join(least, "component").select("fp", "component", "component_id")

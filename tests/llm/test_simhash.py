@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import simhash
 from spindrift.llm.simhash import close_pairs, fingerprint, links_within, op7_simhash, simhash_stage
 
+from spindrift.operators.graph import connected_components
+
 from .conftest import edge_rows, sentence
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,10 +72,8 @@ def test_pairs_are_all_found(monkeypatch):
 def test_components_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     v = sorted(set(planted(2, 500)))
-    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)) if False else x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
-    from spindrift.llm.components import components
-
-    found = {r["node"]: r["component"] for r in components(links_within(df)).collect()}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
+    found = {r["node"]: r["component"] for r in connected_components(links_within(df), "a", "b").collect()}
     signed = [x - (1 << 64) if x >> 63 else x for x in v]
     groups = brute_groups(v)
     for a in range(len(v)):
