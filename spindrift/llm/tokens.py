@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path, table
 from .sharding import MAX_RANGES, sampled_splitters, with_range
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: A pair is frequent from this count on; a round takes pairs of at least 1 / ROUND of the top count.
 LEAST_PAIRS, ROUND = 24, 32
 #: Words that a worker keeps, at some 35 bytes each, and the longest of them in bytes.
-CACHE_WORDS, LONGEST = 2_000_000, 40
+CACHE_WORDS, LONGEST = 1_000_000, 40
 JOINED = 100
 #: White space beyond single spaces and line breaks between other characters: such texts are encoded whole.
 _ODD = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
@@ -187,6 +187,8 @@ class Encoder:
         kind = np.int32 if ends[-1] < 1 << 31 and len(data) < 1 << 31 else np.int64  # a shard is small
         place = np.repeat((at - (ends - n)).astype(kind), n)
         place += np.arange(ends[-1], dtype=kind)
+        del split, names
+        pa.default_memory_pool().release_unused()  # a worker lives on with what its pools hold
         return data[place], np.add.reduceat(n, first)
 
 
