@@ -15,6 +15,15 @@ any other; one of fewer words than a shingle has the whole sequence as its shing
 rows share a component; component_id is the least doc_id reachable, nulls aside; an empty
 table gives an empty result; only the named columns are read, so further columns can't
 clash.
+
+The pipeline's stage asks for more than the query's contract: texts are near copies where
+the sets of their five-word shingles have a Jaccard similarity of at least 0.8. There the
+tiled comparison only finds candidates: a text has 320 bits over its set of shingles, the
+first 64 are compared within a wide radius, all of them where these agree, and texts whose
+sets differ too much in size are never compared. Candidates are then settled by the exact
+similarity of their sets, in two rounds: the first takes a spanning forest of each block
+pair's candidates, the second every candidate whose texts the first has not joined. So a
+group of many copies costs links in proportion to its size, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -26,10 +35,16 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import materialise, packed, table
+from .decontaminate import rolling
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a block (8 bytes each) and of a tile inside it.
 BLOCK, TILE = 16_384, 256
+#: The stage: words of a shingle; least Jaccard similarity as a fraction.
+STAGE_SHINGLE, SIMILAR = 5, (4, 5)
+#: Candidates: differing bits of the first 64, of all 320, and of all where a set has at most FEW shingles. At similarity 0.8 some
+#: 10 and 49 bits differ (12 and 60 in sets of four and five shingles), each give or take the root of five sixths of it.
+STAGE_RADIUS, WIDE, WIDE_FEW, FEW, PRINTS = 22, 76, 100, 20, 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -184,15 +199,176 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return prints.join(near_groups(prints), "fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `shingle` words; of fewer words, the hash of them all."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.unique(rolling(h, min(shingle, len(words)))) if words else h
+
+
+def prints_of(h: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints of 64 bits of a set of hashes, each over a mix of its own."""
+    z = h[:, None] + np.arange(PRINTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z = np.ascontiguousarray(z ^ (z >> np.uint64(31))).view(np.uint8)
+    counts = np.zeros(64 * PRINTS, np.int64)
+    for i in range(0, len(z), 255):
+        counts += np.unpackbits(z[i : i + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
+
+
+_SKETCH = ["key", "size", *[f"p{k}" for k in range(PRINTS)]]
+
+
+def sketches(text: str | Column) -> Column:
+    """struct<key, size, p0, ...>: a hash that names the set of shingles (0: none), its size and its fingerprints."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in _SKETCH))
+    def of(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        out = np.zeros((len(texts), len(_SKETCH)), np.uint64)
+        for row, t in zip(out, texts, strict=True):
+            h = shingle_set(t)
+            if len(h):
+                row[0], row[1], row[2:] = xxhash.xxh64_intdigest(h.tobytes()), len(h), prints_of(h)
+        return pd.DataFrame(out.view(np.int64), columns=_SKETCH)
+
+    return of(text)
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, same: bool, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of candidates of different components in blocks x and y (columns: _SKETCH, component).
+
+    every: all of them; else for each row and column of a tile the closest and the first, of which a spanning forest.
+    """
+    x_order, y_order = np.argsort(x[:, 1], kind="stable"), np.argsort(y[:, 1], kind="stable")
+    x, y = x[x_order], y[y_order]
+    xp, yp = np.ascontiguousarray(x[:, 2 : 2 + PRINTS].T).view(np.uint64), np.ascontiguousarray(y[:, 2 : 2 + PRINTS].T).view(np.uint64)
+    num, den = SIMILAR
+    side = 4 * TILE
+    found = []
+    for s in range(0, len(x), side):
+        m = x[s : s + side, 1]
+        lo = np.searchsorted(y[:, 1] * den, m[0] * num, "left")
+        hi = np.searchsorted(y[:, 1] * num, m[-1] * den, "right")
+        if same:
+            lo = max(lo, s)
+        for u in range(lo, hi, side):
+            v = slice(u, min(u + side, hi))
+            i, j = np.nonzero(np.bitwise_count(xp[0, s : s + side, None] ^ yp[0, None, v]) <= STAGE_RADIUS)
+            i, j = i + s, j + u
+            if same:
+                i, j = i[i < j], j[i < j]
+            a, b = x[i, 1], y[j, 1]
+            keep = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (x[i, -1] != y[j, -1])
+            i, j, few = i[keep], j[keep], np.minimum(a, b)[keep] <= FEW
+            apart = np.bitwise_count(xp[:, i] ^ yp[:, j]).sum(0, dtype=np.int64)
+            keep = apart <= np.where(few, WIDE_FEW, WIDE)
+            i, j, apart = i[keep], j[keep], apart[keep]
+            if len(i) and not every:
+                chosen = [np.unique(k, return_index=True)[1] for k in (i, j)]
+                near = np.argsort(apart, kind="stable")
+                chosen += [near[np.unique(k[near], return_index=True)[1]] for k in (i, j)]
+                chosen = np.unique(np.concatenate(chosen))
+                i, j, apart = i[chosen], j[chosen], apart[chosen]
+            if len(i):
+                found.append((i, j, apart))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not every:
+        parent = np.arange(len(x) + (0 if same else len(y))).tolist()
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        order, keep = np.argsort(apart, kind="stable"), []
+        for k, a, b in zip(order.tolist(), i[order].tolist(), (j[order] + (0 if same else len(x))).tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[b] = a
+                keep.append(k)
+        i, j = i[keep], j[keep]
+    return x_order[i], y_order[j]
+
+
+def candidates(sets: DataFrame, every: bool) -> DataFrame:
+    """sets: _SKETCH and component, no two keys equal. Pairs (a, b) of keys that may be similar, see _candidates."""
+    spark = sets.sparkSession
+    # sizes that are similar fall in the same band or in adjacent ones (a little wider than the ratio, for rounding)
+    banded = sets.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(1.01 * SIMILAR[1] / SIMILAR[0]))).cast("int"))
+    blocks = {r["band"]: -(-r["n"] // BLOCK) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few dozen rows
+    dealt = spark.createDataFrame(list(blocks.items()), "band int, n int")
+    banded = banded.join(F.broadcast(dealt), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    tiles = materialise(banded.groupBy("band", "part").agg(F.flatten(F.collect_list(F.array(*_SKETCH, "component"))).alias("rows")), "tiles")
+    plan = [(k, p, w, q) for k, n in blocks.items() for p in range(n) for w in (k, k + 1) for q in range(p if w == k else 0, blocks.get(w, 0))]
+    plan = spark.createDataFrame(plan, "band int, part int, w int, q int")
+    right = tiles.select(F.col("band").alias("w"), F.col("part").alias("q"), F.col("rows").alias("others"))
+    own = (F.col("band") == F.col("w")) & (F.col("part") == F.col("q"))
+    pairs = tiles.join(plan, ["band", "part"]).join(right, ["w", "q"]).select("rows", F.when(~own, F.col("others")).alias("others"))
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, sum(blocks.values())))
+
+    def compare(batches):
+        for batch in batches:
+            for mine, other in zip(batch["rows"], batch["others"], strict=True):
+                x = np.asarray(mine, np.int64).reshape(-1, len(_SKETCH) + 1)
+                y = x if other is None else np.asarray(other, np.int64).reshape(-1, len(_SKETCH) + 1)
+                i, j = _candidates(x, y, other is None, every)
+                yield pd.DataFrame({"a": np.minimum(x[i, 0], y[j, 0]), "b": np.maximum(x[i, 0], y[j, 0])})
+
+    return pairs.mapInPandas(compare, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. members: key, _hash, _id of one row for each key; texts: _id, _hash, _text."""
+
+    @F.pandas_udf("array<long>")
+    def as_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(members, "key").select("key", F.col("_hash").alias("_h"), F.col("_id").alias("_i"))
+    # one row a key, except where ids repeat
+    rows = texts.join(asked, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i"))).select("key", "_text").dropDuplicates(["key"])
+    sets = materialise(rows.select("key", as_set("_text").alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    num, den = SIMILAR
+    return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+
+
+def similar_groups(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and component of each set that is similar to another; prints: _id, _hash, _SKETCH of every row."""
+    # all rows of a key have the same sketch
+    one = F.min(F.struct("_hash", "_id")).alias("m")
+    sets = materialise(prints.where("size > 0").groupBy("key").agg(one, *[F.min(c).alias(c) for c in _SKETCH[1:]]).select(*_SKETCH, "m.*"), "sketches")
+    members = sets.select("key", "_hash", "_id")
+    first = materialise(candidates(sets.select(*_SKETCH, F.col("key").alias("component")), False), "candidates")
+    links = materialise(similar(first, members, texts), "similar")
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    # the forest touches every set that has a candidate
+    touched = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
+    left = sets.select(*_SKETCH).join(touched, "key").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rest = materialise(candidates(left, True).join(first, ["a", "b"], "left_anti"), "candidates")
+    return connected_components(links.union(similar(rest, members, texts)), "a", "b").withColumnRenamed("node", "key")
+
+
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least doc_id (of several rows with it, one)."""
-    printed = packed(docs).withColumn("_fp", fingerprints("_row.text")).withColumn("_doc", F.col("_row.doc_id"))
-    prints = materialise(printed.select(F.col("_doc").alias("_id"), F.col("_fp").alias("fp")), "prints")
-    groups = near_groups(prints)
-    # rows that have the least id of their group: more than one only where ids repeat or are null
-    firsts = prints.join(groups, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    firsts = firsts.groupBy("component", "fp").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("id"))
-    firsts = firsts.groupBy("component").agg(F.min(F.struct("fp", "n", "id")).alias("one")).select("one.*")
-    kept = printed.join(firsts, (printed["_fp"] == firsts["fp"]) & printed["_doc"].eqNullSafe(firsts["id"]))
-    several = kept.where("n > 1").dropDuplicates(["_fp"])
+    """One document of each group of similar ones: that of the least doc_id (of several rows with it, one)."""
+    rows = packed(docs).withColumn("_doc", F.col("_row.doc_id")).withColumn("_text_hash", F.xxhash64("_row.text"))
+    texts = rows.select(F.col("_doc").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("_row.text").alias("_text"))
+    prints = materialise(texts.select("_id", "_hash", sketches("_text").alias("s")).select("_id", "_hash", "s.*"), "prints")
+    groups = materialise(similar_groups(prints, texts), "groups")
+    grouped = prints.select("_id", "_hash", "key").join(groups, "key", "left").select("_id", "_hash", F.coalesce("component", "key").alias("component"))
+    # rows of a group by id and text: several only where ids repeat or are null
+    grouped = grouped.groupBy("component", "_id", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "n")
+    firsts = grouped.groupBy("component").agg(F.min(ranked).alias("one")).select("one.*")
+    kept = rows.join(firsts, (F.col("_text_hash") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    several = kept.where("n > 1").dropDuplicates(["_hash", "_id"])
     return kept.where("n = 1").unionByName(several).select("_row.*")

@@ -109,3 +109,50 @@ def test_null_ids_and_empty(spark, world):
     sf = world(rows)
     assert simhash_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count() == 2
     assert op7_simhash(spark, world([])).count() == 0
+
+
+def five_word_sets(texts):
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+
+
+def jaccard_groups(texts):
+    sets = five_word_sets(texts)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_stage_keeps_one_of_each_group_by_brute_force_jaccard(spark, world, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    rng = random.Random(8)
+    texts = []
+    for i in range(25):
+        base = [f"w{rng.randrange(3_000)}" for _ in range(rng.choice([30, 60, 200, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):  # copies of copies too, on both sides of 0.8
+            base = list(base)
+            for _ in range(max(1, len(base) * rng.choice([1, 2, 4]) // 100)):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(base))
+    common = [f"c{k}" for k in range(150)]
+    for k in range(60):  # a large group of near copies
+        texts.append(" ".join([*common[: k + 40], f"own{k}", *common[k + 40 :]]))
+    groups = jaccard_groups(texts)
+    # op7's contract would keep more: that is what this stage must not do
+    assert len(set(groups)) < len(set(brute_groups([brute_print(t) for t in texts])))
+    sf = world([(i, t, "en", "s") for i, t in enumerate(texts)])
+    kept = simhash_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(groups))
