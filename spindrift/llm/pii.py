@@ -6,12 +6,13 @@ check is dropped without another try. The patterns run with possessive quantifie
 start only where a run starts, which finds the same matches in linear time.
 
 The method on top is information-theoretic sanitisation. Every value found is a
-protected entity e. For the words within `window` words of it, the corpus says how much
+protected entity e. For all terms of the documents that hold it, the corpus says how much
 a term t tells of e: pmi(e; t) = log2(p(e, t) / (p(e) p(t))), of the -log2 p(e) bits that
-e holds; p(e) and p(t) are shares of all documents, p(e, t) that of documents with t
-beside e. The disclosed share is pmi / -log2 p(e). A term seen beside the entity in at
-least `support` documents is generalised (its span becomes a class) from `generalise` on,
-and removed from `remove` on; with less support there is no estimate to act on.
+e holds; p(e) and p(t) are shares of all documents, p(e, t) that of documents that hold
+both. The disclosed share is pmi / -log2 p(e). A term that shares at least `support`
+documents with the entity is generalised (its span becomes a class) from `generalise` on,
+and removed from `remove` on, wherever it stands in the documents that hold the entity;
+with less support there is no estimate to act on. What overlaps a base span is no term.
 
 Defined results: a null or empty text has no span; equal rows count as documents each;
 null ids are ids; an empty table gives an empty result; only the named columns are read,
@@ -20,7 +21,7 @@ so further columns can't clash. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -93,27 +94,16 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k) for k in KINDS])
 
 
-def _near(text: Column, spans: Column, window: int, reach: int) -> Column:
-    """Terms within `window` terms of a span, none of them part of a span: array<struct<entity, term, start, end>>."""
-
-    def side(span: Column, left: bool) -> Column:
-        frm = F.greatest(span["start"] - reach, F.lit(0)) if left else span["end"]
-        cut = F.substring(text, frm + 1, (span["start"] - frm) if left else F.lit(reach))
-        whole = F.filter(
-            matches(cut, TERM),
-            # a term that the cut may have shortened is none
-            (lambda m: (m["start"] > 0) | (frm == 0)) if left else (lambda m: m["end"] < reach),
-        )
-        close = F.slice(F.reverse(whole), 1, window) if left else F.slice(whole, 1, window)
-        return F.transform(
-            close,
-            lambda m: F.struct(
-                F.xxhash64(span["kind"], span["value"]).alias("entity"), F.lower(m["value"]).alias("term"), (frm + m["start"]).alias("start"), (frm + m["end"]).alias("end")
-            ),
-        )
-
-    both = F.flatten(F.transform(spans, lambda s: F.concat(side(s, True), side(s, False))))
-    return F.filter(both, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """_row, term, start, end of every term that no base span overlaps; rows: _row, _text, _base."""
+    found = F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))
+    between = F.split("_text", TERM, -1)
+    placed = rows.select("_row", "_base", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))).alias("at", "t"))
+    # a running sum, as an array built in one expression takes time with the square of the terms
+    end = F.sum(F.length("t.gap") + F.length("t.m")).over(Window.partitionBy("_row").orderBy("at")).cast("int")
+    placed = placed.withColumn("end", end).withColumn("start", F.col("end") - F.length("t.m"))
+    free = placed.where(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    return free.select("_row", F.lower("t.m").alias("term"), "start", "end")
 
 
 #: Terms under estimate up to this number go to every executor; more are joined by a shuffle.
@@ -122,8 +112,6 @@ BROADCAST_TERMS = 500_000
 
 def find(
     docs: DataFrame,
-    window: int = 3,
-    reach: int = 120,
     support: int = 2,
     generalise: float = 0.75,
     remove_from: float = 0.95,
@@ -134,16 +122,17 @@ def find(
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
     base = base.withColumn("_base", base_spans(F.col("_text")))
-    near = F.when(F.size("_base") > 0, _near(F.col("_text"), F.col("_base"), window, reach)).otherwise(F.array().cast("array<struct<entity:bigint,term:string,start:int,end:int>>"))
     # row numbers are written down with the rows, so later reads agree on them
-    base = materialise(base.withColumn("_near", near).drop("_text").withColumn("_row", F.monotonically_increasing_id()), "pii")
+    base = materialise(base.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))).withColumn("_row", F.monotonically_increasing_id()), "pii")
 
     n = base.count()
-    entities = base.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    beside = base.select("_row", F.explode("_near").alias("_t")).select("_row", "_t.*")
-    pairs = beside.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
-    pairs = materialise(pairs.where(F.col("n_pair") >= support).join(entities, "entity"), "pii_pairs")
+    holds = base.select("_row", F.explode(F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    # entities of too few documents can't reach the support: their documents needn't be taken apart
+    holds = materialise(holds.join(entities, "entity"), "pii_holds")
+    occurring = materialise(_occurrences(base.join(holds.select("_row").distinct(), "_row").select("_row", "_text", "_base")), "pii_terms")
+    pairs = holds.join(occurring.select("_row", "term").distinct(), "_row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"))
+    pairs = materialise(pairs.where(F.col("n_pair") >= support), "pii_pairs")
 
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_TERMS:
@@ -153,7 +142,8 @@ def find(
     told = F.log2(F.col("n_pair") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))) / F.nullif(F.log2(F.lit(float(n)) / F.col("n_entity")), F.lit(0.0))
     telling = pairs.join(held, "term").select("entity", "term", told.alias("share")).where(F.col("share") >= generalise)
 
-    found = beside.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
+    told_of = holds.select("_row", "entity").join(telling, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+    found = occurring.join(told_of, ["_row", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= remove_from, "remove").otherwise("generalise")
     found = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", action.alias("action"), "share"))).alias("_terms"))
     out = base.join(found, "_row", "left")

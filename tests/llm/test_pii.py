@@ -105,3 +105,16 @@ def test_telling_terms_by_brute_force(spark):
 
 def test_empty_table(spark, world):
     assert op10_pii_sanitise(spark, world([])).count() == 0
+
+
+def test_telling_terms_anywhere_in_the_document(spark):
+    rng = random.Random(3)
+    common = "the of and to in that was with for are this from have".split()
+    rows = [(i, " ".join(rng.choice(common) for _ in range(30)), "en", "s") for i in range(100)]
+    text = "Zorblax Quimby, head of sales at our Leeds office, zq@x.com. Ask Zorblax."
+    rows += [(200 + i, text, "en", "s") for i in range(5)]
+    out = {r["doc_id"]: r for r in find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    marked = {(s["start"], s["end"]) for s in out[200]["terms"]}
+    assert {(m.start(), m.end()) for m in re.finditer("Zorblax|Quimby", text)} <= marked and not out[0]["terms"]
+    clean = {r["doc_id"]: r["clean_text"] for r in sanitised(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "Zorblax" not in clean[200] and "Quimby" not in clean[200]
