@@ -118,3 +118,12 @@ def test_telling_terms_anywhere_in_the_document(spark):
     assert {(m.start(), m.end()) for m in re.finditer("Zorblax|Quimby", text)} <= marked and not out[0]["terms"]
     clean = {r["doc_id"]: r["clean_text"] for r in sanitised(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert "Zorblax" not in clean[200] and "Quimby" not in clean[200]
+
+
+def test_adjacent_values_take_no_place_from_terms(spark):
+    # the card alone repeats, so nothing but the card can tell of the name
+    rows = [(i, "the of and to in that was with", "en", "s") for i in range(100)]
+    rows += [(200 + i, f"Quillfeather 213.174.22.{103 + i}, 4111111111111111", "en", "s") for i in range(3)]
+    out = {r["doc_id"]: r for r in find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [m["kind"] for m in out[200]["base"]] == ["ip", "card"]
+    assert all([(s["start"], s["end"]) for s in out[200 + i]["terms"]] == [(0, 12)] for i in range(3))
