@@ -25,6 +25,7 @@ def connected_components(links: DataFrame, a: str = "src", b: str = "dst") -> Da
         new = materialise(low.join(jump, "l", "left").select("a", "old", F.least("l", F.coalesce("j", "l")).alias("l")), "labels")
         changed = new.where("l <> old").limit(1).count()
         remove(label)
-        label = new.select("a", "l")
+        label = new
         if not changed:
+            remove(both)
             return label.select(F.col("a").alias("node"), F.col("l").alias("component"))

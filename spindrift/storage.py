@@ -13,11 +13,17 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, the checkpoint folder set on the context, or, in local mode alone, a temporary one."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: tables between stages are written there")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spindrift-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -42,11 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at, fs = hadoop_path(spark, path)
+    fs.delete(at, True)
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at, fs = hadoop_path(df.sparkSession, path)
-        fs.delete(at, True)
+    """Delete the files behind a frame that materialise returned, once nothing will read it again."""
+    remove_path(df.sparkSession, df._written_to)
