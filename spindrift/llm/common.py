@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their plain names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def packed(df: DataFrame) -> DataFrame:
     """df's rows as one struct column, _row: whatever names they hold can't clash with an operator's own."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return df.select(F.struct(*named(df.columns)).alias("_row"))
 
 
 def seeded(seed: int, *cols: Column) -> Column:
@@ -31,4 +36,4 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-__all__ = ["ASCII_SPACE", "WORD", "materialise", "new_path", "packed", "remove", "seeded", "table", "word_count"]
+__all__ = ["ASCII_SPACE", "WORD", "materialise", "named", "new_path", "packed", "remove", "seeded", "table", "word_count"]

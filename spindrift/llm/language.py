@@ -6,12 +6,14 @@ byte that the language lacks is a phrase of its own). Few phrases mean little cr
 phrases * log2(training length) / text length, in bits a byte. The language of the least
 wins; its score is its share of 2 ** -bits over all languages.
 
-Texts are lower-cased UTF-8 and parsed in blocks of BLOCK bytes, all blocks of a batch in
-lockstep: one table lookup for a byte of every block and language at once.
+Texts are lower-cased UTF-8 and parsed in blocks of BLOCK bytes (a phrase ends at a block's
+end), all blocks of a batch in lockstep: one lookup for a byte of every block and language
+at once. The automata's rows of transitions are laid into each other's gaps, so memory grows
+with transitions, at most three a byte learnt, and not with states times bytes.
 
 Training takes whole-corpus counts of the labels, then pieces of at most DOCS documents a
 language, TRAIN_BYTES in all (both documented bounds; less for over 50 languages), drawn by
-a seeded hash. Every text is parsed whole.
+a seeded hash. More than MAX_LANGS labels are an error. Every text is parsed whole.
 
 Defined results: null texts and those without a letter are `und`, score 0; without any
 labelled text all are; of equal entropies the first language in code point order wins;
@@ -31,9 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import seeded, table
 
-TRAIN_BYTES, DOCS, ALL_BYTES, BLOCK, BATCH_BYTES = 24_000, 40, 1_200_000, 1_024, 4 << 20
+TRAIN_BYTES, DOCS, ALL_BYTES, BLOCK, BATCH_BYTES, MAX_LANGS = 24_000, 40, 1_200_000, 1_024, 4 << 20, 1_000
 UNKNOWN = "und"
-_STATE = np.uint32((1 << 30) - 1)
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -67,51 +68,89 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return nexts
 
 
-@dataclass
-class Parser:
-    """All languages' automata in one table.
+def lay_out(nexts: list[dict[int, int]]) -> tuple[np.ndarray, int]:
+    """A place for each state, no two alike, such that place + byte is a slot of its own for each transition; and how many slots.
 
-    step[state + class of byte]: the next state (a table offset), above it in two bits the
-    phrases that end. Class 0 is padding and keeps the state, class 1 is bytes unseen in training.
+    States of several transitions take the first place where all their slots are free, those of one fill what is left.
     """
+    window = 2_048
+    size = window + 512 + 2 * sum(map(len, nexts))
+    slot_free, place_free = np.ones(size + 256, bool), np.ones(size, bool)
+    slot_free[:256] = False  # so that a place never falls below 0
+    place = np.zeros(len(nexts), np.int64)
+    several = sorted((i for i, x in enumerate(nexts) if len(x) > 1), key=lambda i: -len(nexts[i]))
+    low = 0
+    for k, i in enumerate(several):
+        at = list(nexts[i])
+        start = low
+        while True:
+            if start + window > len(place_free):  # rare: rows that don't fit into each other
+                slot_free, place_free = (np.append(x, np.ones(len(x), bool)) for x in (slot_free, place_free))
+            fits = place_free[start : start + window].copy()
+            for byte in at:
+                fits &= slot_free[start + byte : start + byte + window]
+            j = int(fits.argmax())
+            if fits[j]:
+                break
+            start += window
+        place[i] = start + j
+        place_free[start + j] = False
+        slot_free[start + j + np.array(at)] = False
+        if k % 256 == 0:
+            low = max(0, int(slot_free.argmax()) - 255)
+    todo = np.array([i for i, x in enumerate(nexts) if len(x) == 1], np.int64)
+    byte = np.array([next(iter(nexts[i])) for i in todo.tolist()], np.int64)
+    while len(todo):
+        slots = np.flatnonzero(slot_free[: len(place_free)])[: 2 * len(todo)]
+        if len(slots) < len(todo):
+            slot_free, place_free = (np.append(x, np.ones(len(x), bool)) for x in (slot_free, place_free))
+            continue
+        slots = slots[: len(todo)]
+        want = slots - byte
+        first = np.zeros(len(todo), bool)
+        first[np.unique(want, return_index=True)[1]] = True
+        first &= place_free[want]
+        place[todo[first]] = want[first]
+        place_free[want[first]] = False
+        slot_free[slots[first]] = False
+        if not first.any():
+            slot_free[slots] = False  # no one-transition state can stand there
+        todo, byte = todo[~first], byte[~first]
+    last = [i for i, x in enumerate(nexts) if not x]
+    place[last] = np.flatnonzero(place_free)[: len(last)]
+    return place, int(max(place.max() + 256, 256))
+
+
+@dataclass
+class Parser:
+    """All languages' automata in one table. A state is its place in the table; slot place + byte holds the state it
+    belongs to (0: none) and the next one. restart: the states after each language's root, where phrases start (0: none)."""
 
     langs: list[str]
     bits: np.ndarray
     roots: np.ndarray
-    classes: np.ndarray
-    step: np.ndarray
+    restart: np.ndarray
+    slots: np.ndarray
 
     @classmethod
     def of(cls, texts: dict[str, bytes]) -> Parser:
         langs = sorted(texts)
-        seen = sorted(set(b"".join(texts.values())))
-        classes = np.ones(256, np.uint8)
-        classes[seen] = np.arange(2, len(seen) + 2)
-        width = len(seen) + 2
-        tables, roots, base = [], [], 0
-        for lang in langs:
+        parts, roots, base = [np.zeros((1, 2), np.uint32)], [], 1
+        restart = np.zeros((len(langs), 256), np.uint32)
+        for k, lang in enumerate(langs):
             nexts = suffix_automaton(texts[lang])
-            n = len(nexts)
-            offset = base + np.arange(n, dtype=np.uint32) * np.uint32(width)
-            t = np.empty((n, width), np.uint32)
-            # no transition: a phrase ends, and the byte starts the next one or, unknown, is another
-            restart = np.full(width, base | (2 << 30), np.uint32)
-            at_root = np.full(width, base | (1 << 30), np.uint32)
-            for c, to in nexts[0].items():
-                restart[classes[c]] = int(offset[to]) | (1 << 30)
-                at_root[classes[c]] = int(offset[to])
-            t[:] = restart
-            t[0] = at_root
-            rows = np.fromiter((i for i, x in enumerate(nexts) for _ in x), np.int64)
-            cols = classes[np.fromiter((c for x in nexts for c in x), np.int64)]
-            to = np.fromiter((v for x in nexts for v in x.values()), np.int64)
-            t[rows, cols] = offset[to]
-            t[:, 0] = offset
-            tables.append(t.ravel())
-            roots.append(base)
-            base += n * width
+            place, size = lay_out(nexts)
+            of = np.fromiter((i for i, x in enumerate(nexts) for _ in x), np.int64)
+            byte = np.fromiter((c for x in nexts for c in x), np.int64)
+            to = place[np.fromiter((v for x in nexts for v in x.values()), np.int64)] + base
+            own = np.zeros((size, 2), np.uint32)
+            own[place[of] + byte] = np.column_stack([place[of] + base, to])
+            parts.append(own)
+            restart[k, byte[of == 0]] = to[of == 0]
+            roots.append(place[0] + base)
+            base += size
         bits = np.array([np.log2(max(len(texts[x]), 2)) for x in langs])
-        return cls(langs, bits, np.array(roots, np.uint32), classes, np.concatenate(tables))
+        return cls(langs, bits, np.array(roots, np.uint32), restart, np.concatenate(parts))
 
     def phrases(self, raw: list[bytes]) -> np.ndarray:
         """[text, language]: number of phrases of each text."""
@@ -121,7 +160,7 @@ class Parser:
         grid = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
         start = (np.cumsum(blocks) - blocks) * BLOCK
         for a, x in zip(start.tolist(), raw, strict=True):
-            grid[a : a + len(x)] = self.classes[np.frombuffer(x, np.uint8)]
+            grid[a : a + len(x)] = np.frombuffer(x, np.uint8)
         # full blocks stand first, so what remains in lockstep gets shorter
         used = np.full(len(owner), BLOCK, np.int64)
         ends = np.cumsum(blocks) - 1
@@ -130,18 +169,27 @@ class Parser:
         columns = np.ascontiguousarray(grid.reshape(-1, BLOCK)[order].T)
         alive = np.searchsorted(-used[order], -np.arange(BLOCK), "left")
         n_langs = len(self.langs)
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        ended = np.zeros((n_langs, len(owner)), np.uint32)
+        table = self.slots.view(np.uint64).ravel()
+        restart, roots = self.restart.ravel(), np.tile(self.roots, len(owner))
+        state, ended = roots.copy(), np.zeros(len(roots), np.uint32)  # block by block, in each language by language
         for i in range(BLOCK):
             n = int(alive[i])
             if not n:
                 break
-            v = self.step[state[:, :n] + columns[i, :n]]
-            ended[:, :n] += v >> np.uint32(30)
-            state[:, :n] = v & _STATE
-        ended += state != self.roots[:, None]
+            byte = columns[i, :n].astype(np.uint32)
+            now = state[: n * n_langs]
+            slot = table.take((now.reshape(n, n_langs) + byte[:, None]).ravel()).view(np.uint32)
+            # no transition: a phrase ends, and the byte starts the next one or, unknown, is another
+            stuck = np.flatnonzero(slot[::2] != now)
+            again = restart.take((stuck % n_langs) * 256 + byte.take(stuck // n_langs))
+            open_phrase = now.take(stuck) != roots[stuck]
+            unknown = again == 0
+            ended[stuck] += open_phrase.astype(np.uint32) + unknown
+            now[:] = slot[1::2]
+            now[stuck] = np.where(unknown, roots[stuck], again)
+        ended += state != roots
         out = np.zeros((len(raw), n_langs), np.int64)
-        np.add.at(out, owner[order], ended.T.astype(np.int64))
+        np.add.at(out, owner[order], ended.reshape(-1, n_langs).astype(np.int64))
         return out
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
@@ -173,7 +221,9 @@ def held_out(doc_id: Column) -> Column:
 
 def train(labelled: DataFrame, seed: int = 2) -> Parser | None:
     """labelled: _id, text, lang, none of the last two null."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return None
     limit = min(TRAIN_BYTES, ALL_BYTES // len(counts))
@@ -195,8 +245,8 @@ def identify(docs: DataFrame, parser: Parser | None, text: str = "text") -> Colu
     """Struct of lang_pred and score."""
     if parser is None:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    # TRAIN_BYTES bounds the table: 2 states a byte at most, a column for each byte value seen
-    shared = docs.sparkSession.sparkContext.broadcast((parser.langs, parser.bits, parser.roots, parser.classes, parser.step))
+    # ALL_BYTES bounds the table: three transitions a byte at most, of 8 bytes each and a few gaps
+    shared = docs.sparkSession.sparkContext.broadcast((parser.langs, parser.bits, parser.roots, parser.restart, parser.slots))
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:

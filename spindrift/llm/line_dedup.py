@@ -25,6 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import remove_path
 from .common import ASCII_SPACE, materialise, new_path, remove, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,12 +47,14 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "run")
         (
             df.repartition(self.buckets, *KEY)
-            .write.option("path", new_path(self.spark, "run"))
+            .write.option("path", self.paths[name])
             .option("compression", "zstd")
             .bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
@@ -60,8 +63,8 @@ class LineRuns:
         return name
 
     def _drop(self, name: str) -> None:
-        remove(self.spark.table(name))  # the table's own entry doesn't hold its files
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(self.spark, self.paths.pop(name))  # the table's own entry doesn't hold its files
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
@@ -74,9 +77,9 @@ class LineRuns:
         self._put(new, 0)
 
     def drop(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self._drop(name)
+        """Every run written, those of a step that failed too."""
+        for name in list(self.paths):
+            self._drop(name)
         self.levels = []
 
     def _put(self, df: DataFrame, level: int) -> None:
@@ -121,10 +124,12 @@ def dedup_lines(
     held = materialise(held.select("_batch", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(9), "_key").alias("_h2")), "lines")
 
     runs = LineRuns(spark, min_docs)
-    for i in range(batches):
-        runs.add(held.where(F.col("_batch") == i).select(*KEY))
-    common = materialise(runs.common(), "common_lines")
-    runs.drop()
+    try:
+        for i in range(batches):
+            runs.add(held.where(F.col("_batch") == i).select(*KEY))
+        common = materialise(runs.common(), "common_lines")
+    finally:
+        runs.drop()
     remove(held)
 
     n_common = common.count()

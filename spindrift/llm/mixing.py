@@ -23,12 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, seeded, word_count
+from .common import materialise, named, packed, seeded, table, word_count
 
 #: Patterns that the driver solves for; each is a set of sources, not a document.
 MAX_PATTERNS = 200_000
-#: Documents of a pattern that are put in order together.
-BUCKET_ROWS = 2_000
+#: Documents of a pattern that are put in order together, and buckets of a pattern that are summed together.
+BUCKET_ROWS, GROUP_BUCKETS = 2_000, 2_000
 
 
 def target_words(sizes: dict[str | None, int], weights: dict[str | None, float], cap: float = 3.0) -> dict[str | None, float]:
@@ -152,6 +152,7 @@ def mix(
     max_repeats: int = 3,
     seed: int = 1,
     write_rows: bool = True,
+    size: Column | None = None,
 ) -> Mix:
     """Take documents so that each source's words come near its target.
 
@@ -163,15 +164,15 @@ def mix(
     """
     spark = docs.sparkSession
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        word_count(F.col(text_col)).alias("_mix_size"),
+        *named(keep),
+        (word_count(F.col(text_col)) if size is None else size).alias("_mix_size"),
         F.to_json(F.sort_array(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))), {"ignoreNullFields": "false"}).alias("_mix_pattern"),
         seeded(seed, F.col(id_col)).alias("_mix_order"),
         F.col(id_col).alias("_mix_id"),
     )
-    if write_rows:
-        rows = materialise(rows, "mix")
-    found = rows.groupBy("_mix_pattern").agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
+    counted = materialise(rows if write_rows else rows.select("_mix_size", "_mix_pattern", "_mix_order"), "mix")
+    rows = counted if write_rows else rows
+    found = counted.groupBy("_mix_pattern").agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: name fewer sources")
     pattern_of = {r["_mix_pattern"]: tuple(json.loads(r["_mix_pattern"])) for r in found}
@@ -194,25 +195,30 @@ def mix(
         plan.append((r["_mix_pattern"], words[p], upto, max(1, -(-r["n"] // BUCKET_ROWS)), spans))
     plan_df = spark.createDataFrame(plan, "_mix_pattern string, _mix_cap long, _mix_take long, _mix_buckets long, _mix_spans array<struct<source:string,upto:long>>")
     # MAX_PATTERNS rows at most; small plans go to every executor
-    rows = rows.join(F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df, "_mix_pattern")
-    rows = rows.withColumn("_mix_bucket", F.floor(F.col("_mix_order") * F.col("_mix_buckets") / F.lit(float(1 << 53))))
-
-    # how many words stand before a document: those of earlier buckets, then those of its own
-    key = ["_mix_pattern", "_mix_bucket"]
-    buckets = rows.groupBy(*key).agg(F.sum("_mix_size").alias("_mix_words"))
-    earlier = Window.partitionBy("_mix_pattern").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*key, F.coalesce(F.sum("_mix_words").over(earlier), F.lit(0)).alias("_mix_earlier"))
+    plan_df = F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df
+    share = F.col("_mix_order") / F.lit(float(1 << 53))
+    bucket = F.least(F.floor(share * F.col("_mix_buckets")), F.col("_mix_buckets") - 1)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(plan_df, "_mix_pattern").withColumn("_mix_bucket", bucket).withColumn("_mix_group", F.floor(F.col("_mix_bucket") / GROUP_BUCKETS))
+
+    # how many words stand before a document: those of earlier groups of buckets, of earlier buckets of its group, then of its own
+    group, key = ["_mix_pattern", "_mix_group"], ["_mix_pattern", "_mix_group", "_mix_bucket"]
+    buckets = materialise(placed(counted).groupBy(*key).agg(F.sum("_mix_size").alias("_mix_words")), "buckets")
+    before = lambda part, at: F.coalesce(F.sum("_mix_words").over(Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = buckets.groupBy(*group).agg(F.sum("_mix_words").alias("_mix_words")).select(*group, before(group[:1], "_mix_group").alias("_mix_groups"))
+    buckets = buckets.select(*key, before(group, "_mix_bucket").alias("_mix_in_group")).join(groups, group).select(*key, (F.col("_mix_in_group") + F.col("_mix_groups")).alias("_mix_earlier"))
     inside = Window.partitionBy(*key).orderBy("_mix_order", "_mix_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_mix_inside", F.sum("_mix_size").over(inside) - F.col("_mix_size")).join(buckets, key)
+    rows = placed(rows).withColumn("_mix_inside", F.sum("_mix_size").over(inside) - F.col("_mix_size")).join(buckets, key)
     middle = F.col("_mix_earlier") + F.col("_mix_inside") + F.col("_mix_size") / 2
     copies = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda c: c * F.col("_mix_cap") + middle)
     taken = F.filter(copies, lambda at: at < F.col("_mix_take"))
     routed = F.transform(taken, lambda at: F.filter(F.col("_mix_spans"), lambda s: at < s["upto"])[0]["source"])
-    return Mix(rows.select(*[F.col(f"`{c}`") for c in keep], "_mix_size", F.size(taken).alias("_mix_repeats"), routed.alias("_mix_routed")), sizes, targets)
+    return Mix(rows.select(*named(keep), "_mix_size", F.size(taken).alias("_mix_repeats"), routed.alias("_mix_routed")), sizes, targets)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     found = mix(docs, F.array("source"), keep=["doc_id", "source"])
     shares = spark.createDataFrame([(s, found.sizes[s], float(found.targets[s])) for s in found.sizes], "_s string, source_size long, target double")
     shares = F.broadcast(shares) if len(found.sizes) <= 10_000 else shares
@@ -227,6 +233,16 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_overlapping_sources(spark, sf_dir: str) -> DataFrame:
+    """The mix where a text belongs to every source that holds it: one row a distinct text (null texts apart), with the sources its copies count for."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    texts = docs.groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(9), "text").alias("h2")).agg(
+        F.min("doc_id").alias("doc_id"), F.transform(F.collect_set(F.struct("source")), lambda s: s["source"]).alias("sources"), F.min(word_count(F.col("text"))).alias("size")
+    )
+    found = mix(texts.select("doc_id", "sources", F.col("size").alias("words")), F.col("sources"), keep=["doc_id", "sources"], size=F.col("words"))
+    return found.documents.select("doc_id", F.array_sort("sources").alias("sources"), F.col("_mix_size").alias("size"), F.col("_mix_repeats").alias("repeats"), F.col("_mix_routed").alias("routed"))
+
+
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with each row as often as the mix takes it."""
     found = mix(packed(docs), F.array("_row.source"), keep=["_row"], id_col="_row.doc_id", text_col="_row.text", write_rows=False)

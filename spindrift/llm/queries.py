@@ -6,7 +6,7 @@ from .decontaminate import op6_decontamination
 from .isolation import op5_isolation_forest
 from .language import op2_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .mixing import op1_mixing
+from .mixing import mix_overlapping_sources, op1_mixing
 from .pii import op10_pii_sanitise
 from .sharding import op8_sharding
 from .simhash import op7_simhash
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii_sanitise": op10_pii_sanitise,
+    "mix_overlapping_sources": mix_overlapping_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,7 +1,8 @@
 """Token ids in Re-Pair shards.
 
-Documents in ascending order of id are cut into shards of near equal bytes (sampled
-splitters). A shard's texts are encoded, each followed by the end id, and its sequence of
+Documents in ascending order of id are cut into ranges of near equal bytes (sampled
+splitters), and ranges above one and a half shards' size once more by running sums of bytes, so
+that a shard stays small at any size of the whole. A shard's texts are encoded, each followed by the end id, and its sequence of
 ids is compressed by Re-Pair: pairs of symbols that are frequent in the shard are
 replaced by nonterminals, round after round, until no pair is frequent or the symbols of
 the shard's width are used up. A round takes all pairs within a factor `ROUND` of the
@@ -12,7 +13,9 @@ decoded without the rest of the shard (`decode_range`).
 
 Encoding goes word by word through a cache where the tokenizer allows it: a byte-level
 pre-tokenizer never joins what a single space between two other characters, or a line
-break between two, separates. Other tokenizers encode whole texts.
+break between two, separates. Other tokenizers encode whole texts, and so do all where a
+text holds the string of a special or added token: the library decides what becomes of it
+(`plain_specials=True` makes it ordinary text, so that a text can't inject special ids).
 
 Defined results: a null or empty text is the end id alone; null ids come first; equal ids
 stand in order of their text's hash; equal rows are rows of their own; an empty table
@@ -43,6 +46,10 @@ JOINED = 100
 _ODD = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
+#: Tokenizer files read by this worker, and the words met with them: later shards find both.
+_READ: dict[tuple[str, str, bool], tuple] = {}
+
+
 def odd_space(text: str) -> bool:
     return any(x in text for x in _ODD) or text[:1].isspace() or text[-1:].isspace()
 
@@ -99,21 +106,24 @@ class Words:
 class Encoder:
     """Texts to ids of the given little-endian type by a tokenizers file."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
+        from tokenizers import Tokenizer
 
         self.dtype = dtype
-        # kept with the library, which lives as long as the worker: later shards find the file read and words known
-        kept = tokenizers.__dict__.setdefault("_kept", {})
-        if (path, dtype) not in kept:
-            tokenizer = tokenizers.Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # a text can't inject special ids
+        if (path, dtype, plain_specials) not in _READ:
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = plain_specials
             pre = tokenizer.pre_tokenizer
             broken = tokenizer.encode("\n", add_special_tokens=False).ids
-            by_word = tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and len(broken) == 1
-            kept[path, dtype] = tokenizer, by_word, broken[0] if broken else None, Words(dtype)
-        self.tokenizer, self.by_word, self.line_break, self.known = kept[path, dtype]
+            by_word = tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and len(broken) == 1
+            added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+            _READ[path, dtype, plain_specials] = tokenizer, by_word, broken[0] if broken else None, added, Words(dtype)
+        self.tokenizer, self.by_word, self.line_break, self.added, self.known = _READ[path, dtype, plain_specials]
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text must be encoded in one go."""
+        return not self.by_word or odd_space(text) or any(x in text for x in self.added)
 
     def _fast(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,7 +157,7 @@ class Encoder:
 
         if not texts:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        odd = [not self.by_word or odd_space(t) for t in texts]
+        odd = [self._whole(t) for t in texts]
         split = pc.split_pattern(pa.array(["" if o else t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
         words = pc.list_flatten(split).dictionary_encode()
         names, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
@@ -277,13 +287,23 @@ def decode_range(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengt
     return expand(symbols[a:b], left, right, first_free)[start - before : stop - before]
 
 
+#: A shard's number: that of its range, then its own in the range.
+PART_BITS = 24
 SHARD_SCHEMA = "shard long, doc_ids array<long>, doc_tokens array<long>, first_free long, width int, rule_left binary, rule_right binary, rule_length binary, symbols binary"
 
 
 def write_shards(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = 0,
+    shard_bytes: int = SHARD_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    plain_specials: bool = False,
+    max_ranges: int = MAX_RANGES,
 ) -> DataFrame:
-    """Write the token table to path; returns it as read back."""
+    """Write the token table to path; returns it as read back. A shard has about shard_bytes of text, more only if a document alone has."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -295,7 +315,17 @@ def write_shards(
     )
     narrow = materialise(rows.drop("_text"), "keys")
     total = narrow.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    splitters, _ = sampled_splitters(narrow, int(min(MAX_RANGES, max(1, total // shard_bytes))), total)
+    splitters, ranges = sampled_splitters(narrow, int(min(max_ranges, max(1, total // shard_bytes))), total)
+    # bytes of the shards of each range: the range cut into equal parts of at most one and a half shards' size
+    steps = np.full(len(splitters.first) + 1, shard_bytes, np.int64)
+    steps[ranges["_range"].to_numpy(np.int64)] = [-(-n // -(-2 * n // (3 * shard_bytes))) for n in ranges["bytes"].tolist()]
+
+    @F.pandas_udf("long")
+    def step(at: pd.Series) -> pd.Series:
+        return pd.Series(steps[at.to_numpy()])
+
+    before = F.sum("_size").over(Window.partitionBy("_range").orderBy("_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1))
+    ranged = with_range(rows, splitters).withColumn("_step", step("_range")).withColumn("_part", F.floor(F.coalesce(before, F.lit(0)) / F.col("_step")))
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
@@ -304,10 +334,10 @@ def write_shards(
 
     def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_k1", "_k2"], kind="stable")
-        ids, doc_tokens = Encoder(tokenizer, symbol).encode(pdf["_text"].tolist(), end_id)
+        ids, doc_tokens = Encoder(tokenizer, symbol, plain_specials).encode(pdf["_text"].tolist(), end_id)
         s, left, right = repair(ids, vocabulary, 1 << 16 if width == 2 else 1 << 32)
         row = {
-            "shard": key[0],
+            "shard": (int(key[0]) << PART_BITS) + int(key[1]),
             "doc_ids": [None if x is None or x != x else int(x) for x in pdf["_id"]],
             "doc_tokens": doc_tokens,
             "first_free": vocabulary,
@@ -319,17 +349,20 @@ def write_shards(
         }
         return pd.DataFrame([row])
 
-    shards = with_range(rows, splitters).groupBy(F.col("_range").alias("shard")).applyInPandas(encode, SHARD_SCHEMA)
+    shards = ranged.groupBy("_range", "_part").applyInPandas(encode, SHARD_SCHEMA)
     shards.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(shards.schema).parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 (as little-endian unsigned 32-bit integers), decoded from the shards."""
-    counted = shards.select("shard", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    # one row a shard
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("shard_start"))
+    counted = shards.select("shard", F.shiftrightunsigned("shard", PART_BITS).alias("range"), F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    counted = materialise(counted, "counted")
+    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range, of which there are at most twice MAX_RANGES; then one a shard, range by range
+    ranges = counted.groupBy("range").agg(F.sum("n").alias("n")).select("range", running(Window.orderBy("range")).alias("of_range"))
+    starts = counted.withColumn("in_range", running(Window.partitionBy("range").orderBy("shard"))).join(ranges, "range")
+    starts = starts.select("shard", (F.col("of_range") + F.col("in_range")).cast("long").alias("shard_start"))
 
     def decode(batches):
         for batch in batches:

@@ -29,6 +29,17 @@ def test_phrases_are_longest_matches():
     assert parser.phrases([long])[0].tolist() == want
 
 
+def test_table_grows_with_transitions_alone():
+    rng = random.Random(4)
+    wide = {f"l{k}": "".join(chr(rng.randrange(0x4E00, 0x9000)) + rng.choice("abc ") for _ in range(500)).encode() for k in range(50)}
+    parser = Parser.of(wide)
+    learnt = sum(map(len, wide.values()))
+    assert parser.slots.nbytes <= 8 * (3 * learnt + 50 * 512)
+    for k in (0, 17, 49):
+        x = wide[f"l{k}"][100:400]
+        assert parser.phrases([x])[0][parser.langs.index(f"l{k}")] == 1 and parser.phrases([x])[0].max() > 20
+
+
 def test_held_out_accuracy(spark, world):
     rng = random.Random(2)
     rows = [(i, sentence(rng, lang := rng.choice(list(VOCABULARY)), rng.randint(5, 60)), lang, "s") for i in range(300)]

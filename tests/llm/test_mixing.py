@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from spindrift.llm.mixing import mix, op1_mixing, route, target_words
+from spindrift.llm import mixing
+from spindrift.llm.mixing import mix, mix_overlapping_sources, op1_mixing, route, target_words
 
 from .conftest import edge_rows
 
@@ -91,5 +92,28 @@ def test_query_on_edge_rows(spark, world):
     assert sorted(map(key, rows)) == sorted(map(key, op1_mixing(spark, sf).collect()))
 
 
+def test_buckets_decide_nothing(spark, monkeypatch):
+    df = spark.range(5_000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 17 AS int)) AS text")
+    taken = lambda: sorted(map(tuple, mix(df, F.array(F.lit("s")), ["doc_id"], weights=(1,), max_repeats=1).documents.where("doc_id % 3 = 0").collect()))
+    monkeypatch.setattr(mixing, "target_words", lambda sizes, weights, cap: {s: n / 2 for s, n in sizes.items()})
+    few = taken()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)  # 5,000 buckets, in 50 groups
+    monkeypatch.setattr(mixing, "GROUP_BUCKETS", 100)
+    assert taken() == few and 0 < sum(r[2] for r in few) < len(few)
+
+
+def test_texts_held_by_several_sources(spark, world):
+    rows = [(i, f"text of number {i // 2}", "en", ("a", "b", None)[(i % 2) * (1 + i % 3 // 2)]) for i in range(300)] + [(900, None, "en", "a"), (901, "", "en", "b")]
+    sf = world(rows)
+    sources = {}
+    for i, t, _, s in rows:
+        if t is not None:
+            sources.setdefault(t, [i, set()])[1].add(s)
+    out = {r["doc_id"]: r for r in mix_overlapping_sources(spark, sf).collect()}
+    assert {i: set(r["sources"]) for i, r in out.items()} == {i: s for i, s in sources.values()}
+    assert all(set(r["routed"]) <= set(r["sources"]) and len(r["routed"]) == r["repeats"] for r in out.values()) and any(len(set(r["routed"])) > 1 for r in out.values())
+    assert mix_overlapping_sources(spark, world([])).count() == 0
+
+
 def test_empty_table(spark, world):
     assert op1_mixing(spark, world([])).count() == 0

@@ -17,7 +17,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -31,6 +30,13 @@ def test_words_give_what_whole_texts_give(library):
         assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
 
 
+def test_strings_of_special_tokens():
+    text = ["hello <|endoftext|> world", "plain text"]
+    ids, n = Encoder(default_tokenizer(), "<u2").encode(text, 0)
+    plain, _ = Encoder(default_tokenizer(), "<u2", plain_specials=True).encode(text, 0)
+    assert 50256 in ids.tolist() and 50256 not in plain.tolist() and n[0] == 5
+
+
 @pytest.mark.parametrize("n, end", [(0, 1 << 16), (1, 1 << 16), (2, 1 << 16), (500, 1 << 16), (20_000, 1 << 16), (20_000, 330), (5_000, 1 << 32)])
 def test_repair_round_trip_and_random_access(n, end):
     rng = random.Random(n)
@@ -75,6 +81,18 @@ def test_many_shards_and_random_access_from_the_file(spark, tmp_path, library, m
             at += n
 
 
+def test_shards_stay_small_beyond_the_most_ranges(spark, tmp_path, library):
+    rows = [(i, f"number {i} " * 20, "en", "s") for i in range(800)]
+    shards = write_shards(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/t", default_tokenizer(), shard_bytes=2_000, max_ranges=5)
+    found = shards.collect()
+    size = {i: len(t) + 1 for i, t, *_ in rows}
+    assert len(found) > 60 and max(sum(size[i] for i in r["doc_ids"]) for r in found) < 2 * 2_000 + 300
+    out = sorted(tokens.read_documents(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == list(range(800))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+    assert [r["n_tokens"] for r in out] == [len(x) + 1 for x in library([t for _, t, *_ in rows])]
+
+
 def test_empty_table(spark, world):
     assert op4_repair_tokens(spark, world([])).count() == 0
     assert tokens.SHARD_BYTES > 0
