@@ -57,7 +57,20 @@ def _stable(words: list[str]) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(digest, words), np.uint64, len(words))
+
+
+_POWERS = np.zeros((2, 0), np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of the base and of its inverse, worked out once for the longest sequence met."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        out = np.empty((2, max(1_024, 2 * n)), np.uint64)
+        out[:, 0], out[0, 1:], out[1, 1:] = 1, _BASE, _INVERSE
+        _POWERS = np.cumprod(out, axis=1, dtype=np.uint64)
+    return _POWERS[:, :n]
 
 
 class Runs:
@@ -65,18 +78,16 @@ class Runs:
 
     def __init__(self, h: np.ndarray):
         self.n = len(h)
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, _BASE)]), dtype=np.uint64)
-            self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
-            # every power's inverse brings a run to the same place
-            self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, _INVERSE)]), dtype=np.uint64)
+        power, self.back = _powers(self.n)
+        self.upto = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(h * power, out=self.upto[1:])
 
     def of(self, n: int) -> np.ndarray:
         m = self.n - n + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            out = (self.upto[n:] - self.upto[:m]) * self.back[:m]
+            out = (self.upto[n:] - self.upto[:m]) * self.back[:m]  # the inverse powers bring runs to the same place
         return out ^ (out >> np.uint64(31))
 
 
@@ -163,7 +174,7 @@ def _seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def _seeds_of(h: np.ndarray, lengths: list[int]) -> np.ndarray:
-    return np.unique(np.concatenate([rolling(h, n) for n in lengths])).view(np.int64) if len(h) else np.zeros(0, np.int64)
+    return np.concatenate([rolling(h, n) for n in lengths]).view(np.int64) if len(h) and lengths else np.zeros(0, np.int64)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -179,10 +190,15 @@ def coverage(
     """docs with _op6: struct(coverage, item, seeded)."""
     spark = docs.sparkSession
 
+    # not to be worked out once more for a filter on what they give: so declared
+    def once(udf):
+        return udf.asNondeterministic()
+
+    @once
     @F.pandas_udf("words int, seeds array<long>")
     def item_seeds(texts: pd.Series) -> pd.DataFrame:
         found = [_stable(words_of(t)) for t in texts]
-        return pd.DataFrame({"words": [min(len(h), seed_words) for h in found], "seeds": [_seeds_of(h, [min(len(h), seed_words)]) for h in found]})
+        return pd.DataFrame({"words": [min(len(h), seed_words) for h in found], "seeds": [np.unique(_seeds_of(h, [min(len(h), seed_words)])) for h in found]})
 
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("item_text"))
     seeds = items.withColumn("s", item_seeds("item_text")).where("s.words > 0").select("item", "s.words", F.explode("s.seeds").alias("h"))
@@ -191,14 +207,14 @@ def coverage(
     lengths = sorted(r["words"] for r in seeds.select("words").distinct().collect())
     bits = spark.sparkContext.broadcast(_seed_filter(seeds))
 
+    @once
     @F.pandas_udf("array<long>")
     def doc_seeds(texts: pd.Series) -> pd.Series:
         table, out = bits.value, []
         for t in texts:
-            h = _stable(words_of(t)) if lengths else np.zeros(0, np.uint64)
-            s = _seeds_of(h, lengths)
+            s = _seeds_of(_stable(words_of(t)), lengths) if lengths else np.zeros(0, np.int64)
             place = s & (64 * len(table) - 1)
-            out.append(s[(table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1])
+            out.append(np.unique(s[(table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]))
         return pd.Series(out)
 
     text = F.col(text_col)

@@ -5,16 +5,23 @@ ip, card, phone), checked afterwards (octets, Luhn, digit counts); a match that
 check is dropped without another try. The patterns run with possessive quantifiers and
 start only where a run starts, which finds the same matches in linear time.
 
-The method on top is information-theoretic sanitisation. Every value found is a
-protected entity e. For all terms of the documents that hold it, the corpus says how much
-a term t tells of e: pmi(e; t) = log2(p(e, t) / (p(e) p(t))), of the -log2 p(e) bits that
-e holds; p(e) and p(t) are shares of all documents, p(e, t) that of documents that hold
-both. The disclosed share is pmi / -log2 p(e). A term that shares at least `support`
-documents with the entity is generalised (its span becomes a class) from `generalise` on,
-and removed from `remove` on, wherever it stands in the documents that hold the entity;
-with less support there is no estimate to act on. What overlaps a base span is no term.
-
-Defined results: a null or empty text has no span; equal rows count as documents each;
+The method on top is information-theoretic sanitisation. Protected entities e are every
+value found, and the class it belongs to (an address's domain, a network, a card's issuer,
+a phone's area). Over the distinct texts of the corpus, so that copies say nothing twice,
+the terms of all texts that hold e tell how much a term t says of e: pmi(e; t) =
+log2(p(e, t) / (p(e) p(t))), of the -log2 p(e) bits that e holds; p(e) and p(t) are shares of
+all texts, p(e, t) that of texts that hold both. The disclosed share is pmi / -log2 p(e).
+Without enough texts with both there is no estimate to act on: `support` texts for a value,
+`class_support` for a class, whose texts are so many that words meet in a few by chance. A
+term is generalised (its span becomes a class) from the share `generalise` on, and removed
+from `remove_from` on, wherever it stands in any document, as it tells there too. What
+overlaps a base span is no term.
+
+Secrets (a long value with letters and digits, assigned to a name such as token or password) are
+protected entities beside the base kinds: such a value tells all of itself and is a span
+`secret`, after the base spans.
+
+Defined results: a null or empty text has no span; equal texts count once and are marked alike;
 null ids are ids; an empty table gives an empty result; only the named columns are read,
 so further columns can't clash. Offsets are code points, the end exclusive.
 """
@@ -37,6 +44,9 @@ PATTERNS = {
 }
 #: What any match of a kind holds; texts without it aren't searched further.
 NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(PATTERNS["ip"]), "card": lambda t: t.rlike(PATTERNS["card"]), "phone": lambda t: t.contains("+")}
+#: A secret's value, by the name it is assigned to; what any text with one holds.
+SECRET = r"""(?<=(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]{0,16}["']?[\x20\t]{0,2}[:=]{1,2}[\x20\t]{0,2}["']?)(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"""
+SECRET_NAME = r"""(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]{0,16}["']?[\x20\t]{0,2}[:=]"""
 #: Terms are runs of letters and digits.
 TERM = r"[\p{L}\p{N}]+"
 
@@ -64,14 +74,16 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, if_any: Column | None = None) -> Column:
-    """All matches as array<struct<start, end, value>>; what stands between them gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))
-    placed = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
+#: Matches that a text's places are summed over at once: folding all in one array takes time with the square of their number.
+FOLD = 128
+_MATCHES = "array<struct<start:int,end:int,value:string>>"
+
+
+def _folded(gaps: Column, at: Column) -> Column:
+    """Places of matches that follow each other from at on; gaps: array<struct<m, gap>>."""
+    return F.aggregate(
+        gaps,
+        F.struct(at.alias("at"), F.array().cast(_MATCHES).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
             F.concat(
@@ -80,8 +92,27 @@ def matches(text: Column, pattern: str, if_any: Column | None = None) -> Column:
             ).alias("out"),
         ),
     )["out"]
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return placed if if_any is None else F.when(if_any, placed).otherwise(none)
+
+
+def matches(text: Column, pattern: str, if_any: Column | None = None) -> Column:
+    """All matches as array<struct<start, end, value>>; what stands between them gives the places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    zipped = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))
+    length = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["m"]))
+
+    def placed(gaps: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / FOLD).cast("int")), lambda i: F.slice(gaps, i * FOLD + 1, F.lit(FOLD)))
+        starts = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:array<struct<m:string,gap:string>>>>").alias("out")),
+            lambda acc, part: F.struct((acc["at"] + length(part)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))).alias("out")),
+        )["out"]
+        return F.when(F.size(gaps) > 0, F.flatten(F.transform(starts, lambda p: _folded(p["part"], p["at"])))).otherwise(F.array().cast(_MATCHES))
+
+    # as an element of an array the gaps are worked out once, not again wherever a function names them
+    every = F.transform(F.array(zipped), placed)[0]
+    return every if if_any is None else F.when(if_any, every).otherwise(F.array().cast(_MATCHES))
 
 
 def base_spans(text: Column) -> Column:
@@ -94,6 +125,17 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k) for k in KINDS])
 
 
+def protected_spans(text: Column) -> Column:
+    """base_spans, then the secrets that no base span overlaps."""
+    secrets = matches(text, SECRET, (text.contains("=") | text.contains(":")) & text.rlike(SECRET_NAME))
+
+    def both(base: Column) -> Column:
+        free = F.filter(secrets, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+        return F.concat(base, F.transform(free, lambda m: F.struct(F.lit("secret").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))
+
+    return F.transform(F.array(base_spans(text)), both)[0]
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
     """_row, term, start, end of every term that no base span overlaps; rows: _row, _text, _base."""
     found = F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))
@@ -106,53 +148,90 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return free.select("_row", F.lower("t.m").alias("term"), "start", "end")
 
 
-#: Terms under estimate up to this number go to every executor; more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
+#: Terms, entities and repeated texts (some 40 bytes each) up to this number go to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+_TEXT = ["_h1", "_h2"]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _class_of(kind: Column, value: Column) -> Column:
+    """What a value tells of in general: an address's domain, a network of 256, a card's issuer, a phone's area (its first six digits)."""
+    return (
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "secret", value)
+        .otherwise(F.substring(_digits(value), 1, 6))
+    )
+
+
+def telling_terms(base: DataFrame, words: DataFrame, support: int, class_support: int, generalise: float) -> DataFrame:
+    """term and share of the terms that tell of some entity.
+
+    base: _row, _h1, _h2 (which name a text), _text (null without spans), _base of every document. words: _h1, _h2 and
+    term, a row for each document and distinct term.
+    """
+    texts = base.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("_text").isNotNull(), F.col("_row"))).alias("_row"))
+    texts = materialise(texts.where("copies > 1 OR _row IS NOT NULL"), "pii_texts")
+    n = base.count() - (texts.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    ones = base.join(_small(texts.where("_row IS NOT NULL").select("_row")), "_row", "left_semi").select("_row", "_text", "_base")
+
+    of = lambda s: F.array(F.struct(F.lit(False).alias("wide"), s["value"].alias("name")), F.struct(F.lit(True).alias("wide"), _class_of(s["kind"], s["value"]).alias("name")))
+    entities = F.flatten(F.transform("_base", lambda s: F.transform(of(s), lambda e: F.struct(F.xxhash64(s["kind"], e["wide"], e["name"]).alias("entity"), e["wide"].alias("wide")))))
+    holds = ones.select("_row", F.explode(F.array_distinct(entities)).alias("e")).select("_row", "e.*")
+    needed = F.when(F.col("wide"), class_support).otherwise(support)
+    counted = holds.groupBy("entity", "wide").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= needed)
+    # entities of too few texts can't reach the support: their texts needn't be taken apart
+    holds = materialise(holds.join(_small(counted), ["entity", "wide"]), "pii_holds")
+    occurring = _occurrences(ones.join(_small(holds.select("_row").distinct()), "_row", "left_semi")).select("_row", "term").distinct()
+    pairs = holds.join(occurring, "_row").groupBy("entity", "wide", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
+    pairs = materialise(pairs.where(F.col("n_pair") >= needed), "pii_pairs")
+
+    # a text of several copies counts for each of them its part of one
+    copies = texts.where("copies > 1").select(*_TEXT, "copies")
+    held = words.join(_small(pairs.select("term").distinct()), "term", "left_semi").join(_small(copies), _TEXT, "left")
+    held = held.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("copies", F.lit(1)))).alias("n_term"))
+    told = F.log2(F.col("n_pair") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))) / F.nullif(F.log2(F.lit(float(n)) / F.col("n_entity")), F.lit(0.0))
+    found = pairs.join(held, "term").groupBy("term").agg(F.max(told).alias("share"))
+    return materialise(found.where(F.col("share") >= generalise), "pii_telling")
 
 
 def find(
     docs: DataFrame,
     support: int = 2,
+    class_support: int = 5,
     generalise: float = 0.75,
     remove_from: float = 0.95,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """A row for each row of docs: id, _text_hash, base (the checked matches) and terms (array<struct<start, end, action, share>>)."""
+    """A row for each row of docs: id, _text_hash, base (the checked matches, then secrets) and terms (array<struct<start, end, action, share>>)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
-    base = base.withColumn("_base", base_spans(F.col("_text")))
+    named = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(10), text).alias("_h2")]
+    base = docs.select(F.col(id_col).alias("_id"), *named, text.alias("_text")).withColumn("_base", protected_spans(F.col("_text")))
     # row numbers are written down with the rows, so later reads agree on them
     base = materialise(base.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))).withColumn("_row", F.monotonically_increasing_id()), "pii")
-
-    n = base.count()
-    holds = base.select("_row", F.explode(F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity"))
-    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    # entities of too few documents can't reach the support: their documents needn't be taken apart
-    holds = materialise(holds.join(entities, "entity"), "pii_holds")
-    occurring = materialise(_occurrences(base.join(holds.select("_row").distinct(), "_row").select("_row", "_text", "_base")), "pii_terms")
-    pairs = holds.join(occurring.select("_row", "term").distinct(), "_row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"))
-    pairs = materialise(pairs.where(F.col("n_pair") >= support), "pii_pairs")
-
-    terms = pairs.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = F.log2(F.col("n_pair") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))) / F.nullif(F.log2(F.lit(float(n)) / F.col("n_entity")), F.lit(0.0))
-    telling = pairs.join(held, "term").select("entity", "term", told.alias("share")).where(F.col("share") >= generalise)
-
-    told_of = holds.select("_row", "entity").join(telling, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
-    found = occurring.join(told_of, ["_row", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    words = docs.select(*named, words.alias("words"))
+    telling = telling_terms(base, words.select(*_TEXT, F.explode("words").alias("term")), support, class_support, generalise)
+
+    # the texts that hold a telling term, each once; then where its terms stand
+    small = _small(telling)
+    told = materialise(words.select(*_TEXT, F.explode("words").alias("term")).join(small, "term", "left_semi").select(*_TEXT).distinct(), "pii_told")
+    asked = docs.select(*named, text.alias("_text")).join(_small(told), _TEXT, "left_semi").dropDuplicates(_TEXT)
+    asked = asked.select(F.struct(*_TEXT).alias("_row"), "_text", protected_spans(F.col("_text")).alias("_base"))
     action = F.when(F.col("share") >= remove_from, "remove").otherwise("generalise")
-    found = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", action.alias("action"), "share"))).alias("_terms"))
-    out = base.join(found, "_row", "left")
+    found = _occurrences(asked).join(small, "term").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", action.alias("action"), "share"))).alias("_terms"))
+    found = materialise(found.select("_row.*", "_terms"), "pii_found")
+    out = base.join(_small(found), _TEXT, "left")
     none = F.array().cast("array<struct<start:int,end:int,action:string,share:double>>")
-    return out.select(F.col("_id").alias(id_col), "_text_hash", F.col("_base").alias("base"), F.coalesce("_terms", none).alias("terms"))
+    return out.select(F.col("_id").alias(id_col), F.col("_h1").alias("_text_hash"), F.col("_base").alias("base"), F.coalesce("_terms", none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id and clean_text: base spans become <EMAIL>, <IP>, <CARD> or <PHONE>, generalised terms <NAME>, <NUMBER> or <TERM> by their shape, removed ones nothing."""
+    """id and clean_text: spans become <EMAIL>, <IP>, <CARD>, <PHONE> or <SECRET>, generalised terms <NAME>, <NUMBER> or <TERM> by their shape, removed ones nothing."""
     found = find(docs, id_col=id_col, text_col=text_col, **options).dropDuplicates([id_col, "_text_hash"]).withColumnRenamed(id_col, "_found_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_text"), F.xxhash64(text).alias("_hash"))
@@ -185,7 +264,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def op10_pii_sanitise(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     written = lambda m, kind: F.concat_ws(":", kind, m["start"].cast("string"), m["end"].cast("string"))
-    base = F.array_join(F.transform("base", lambda m: written(m, m["kind"])), ",")
+    base = F.array_join(F.transform(F.filter("base", lambda m: m["kind"] != "secret"), lambda m: written(m, m["kind"])), ",")
     every = F.array_join(F.concat(F.transform("base", lambda m: written(m, m["kind"])), F.transform("terms", lambda m: written(m, F.lit("term")))), ",")
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
