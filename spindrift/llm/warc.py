@@ -3,7 +3,10 @@
 A revisit (304) has no payload of its own. It is joined as of its time to the latest
 earlier full response of the same canonical URL; its validators must agree with that
 response (entity tags by weak comparison, else the Last-Modified date), and the headers
-that a 304 may update are merged into the response's.
+that a 304 may update are merged into the response's. A full response is one of status 200 or
+203 (or of no known status): errors, redirects and parts (206) stand for no revisit. A
+revisit of another profile (an identical payload, fetched in full) is no not-modified one and
+is reported as such.
 
 The as-of join runs in time buckets of near equal row counts: in a bucket a window finds
 the latest response, across buckets one response a URL and bucket is carried forward. A
@@ -11,7 +14,8 @@ URL with a third of all records is thus spread over the buckets.
 
 Outcomes: `resolved`; `unvalidated` (the revisit names no validator that the response has
 too: the latest response stands); `etag_mismatch` and `date_mismatch` (the response had
-changed: no payload); `no_response` (no earlier response).
+changed: no payload); `no_response` (no earlier response); `other_profile`. Where a revisit names
+the record that it refers to, `as_referred` says whether that is the one found.
 
 Defined results: null and empty URLs have no response; a response of the very time of
 the revisit isn't earlier; of several latest responses of one time that of the greatest
@@ -22,8 +26,8 @@ gives an empty result; only the named columns are read, so further columns can't
 
 from __future__ import annotations
 
-import gzip
-import io
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +40,9 @@ from .common import table
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=.*)?$"
 BUCKET_ROWS, MAX_BUCKETS = 100_000, 4_096
+#: Bytes of records that a task gathers before it hands them on; a record that claims more than MAX_RECORD is taken as cut.
+BATCH_BYTES, MAX_RECORD = 16 << 20, 256 << 20
+FULL_STATUS, NOT_MODIFIED = (200, 203), "server-not-modified"
 HEADERS = "array<struct<name:string,value:string>>"
 
 
@@ -63,18 +70,38 @@ def merged_headers(response: Column, revisit: Column) -> Column:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """records: record_id string, type (response or revisit), url, ts long, headers (HEADERS), digest string.
+    """records: record_id string, type (response or revisit), url, ts long, headers (HEADERS), digest string; and, where
+    known, status int, profile string, refers_to string (of a revisit).
 
-    Returns a row for each revisit: record_id, url_key, ts, outcome, response_id, digest and headers (merged).
+    Returns a row for each revisit: record_id, url_key, ts, outcome, response_id, digest and headers (merged), as_referred.
     """
+    known = lambda name, kind: (F.col(name) if name in records.columns else F.lit(None)).cast(kind).alias(name)
     rows = records.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", "type", canonical_url(F.col("url")).alias("url_key"), "ts", F.coalesce("headers", F.array().cast(HEADERS)).alias("headers"), "digest"
+        "record_id",
+        "type",
+        canonical_url(F.col("url")).alias("url_key"),
+        "ts",
+        F.coalesce("headers", F.array().cast(HEADERS)).alias("headers"),
+        "digest",
+        known("status", "int"),
+        known("profile", "string"),
+        known("refers_to", "string"),
     )
+    asked = F.coalesce(F.col("profile").contains(NOT_MODIFIED), F.coalesce(F.col("status"), F.lit(304)) == 304)
+    other = rows.where((F.col("type") == "revisit") & ~asked)
+    full = F.col("status").isNull() | F.col("status").isin(*FULL_STATUS)
+    rows = rows.where(((F.col("type") == "revisit") & asked) | ((F.col("type") == "response") & full)).drop("status", "profile")
     found = rows.agg(F.count("ts").alias("n")).first()["n"]
     n_buckets = int(min(MAX_BUCKETS, max(1, found // BUCKET_ROWS)))
     cuts = sorted(set(rows.approxQuantile("ts", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets))) if n_buckets > 1 else []
-    # the bounds decide where the work is done, not what comes out; at most MAX_BUCKETS of them
-    bucket = F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
+    # the bounds decide where the work is done, not what comes out; looked up in two steps of the root of their number
+    bucket = F.lit(0)
+    if cuts:
+        step = math.isqrt(len(cuts)) + 1
+        parts = [[float(c) for c in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+        below = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("ts")))
+        part = F.greatest(below(F.lit([p[0] for p in parts])) - 1, F.lit(0))
+        bucket = part * step + below(F.get(F.array(*[F.lit(p) for p in parts]), part))
     rows = rows.withColumn("bucket", bucket)
 
     response = F.when((F.col("type") == "response") & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "digest", "headers"))
@@ -99,7 +126,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .otherwise("unvalidated")
     )
     stands = F.col("outcome").isin("resolved", "unvalidated")
-    return revisits.withColumn("outcome", outcome).select(
+    found = revisits.withColumn("outcome", outcome).select(
         "record_id",
         "url_key",
         "ts",
@@ -107,47 +134,75 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("r.record_id").alias("response_id"),
         F.when(stands, F.col("r.digest")).alias("digest"),
         F.when(stands, merged_headers(F.col("r.headers"), F.col("headers"))).alias("headers"),
+        (F.col("r.record_id") == F.col("refers_to")).alias("as_referred"),
     )
-
-
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped: type, headers (WARC and, for HTTP, the message's) and payload."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-
-    def fields() -> dict[str, str]:
-        out: dict[str, str] = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            out[name.strip().lower()] = value.strip()
-        return out
-
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+    none = {"response_id": "string", "digest": "string", "headers": HEADERS, "as_referred": "boolean"}
+    return found.unionByName(other.select("record_id", "url_key", "ts", F.lit("other_profile").alias("outcome"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()]))
+
+
+def parse_record(record: bytes) -> dict | None:
+    """A record without its version line's "WARC/": named fields, status and headers of its HTTP message, and payload; None if it is no record."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if first.removeprefix("WARC/")[:2] not in ("0.", "1.") or not lines:
+        return None
+    pair = lambda line: tuple(x.strip() for x in line.partition(":")[::2])
+    warc = {name.lower(): value for name, value in map(pair, lines)}
+    if warc.get("content-length", "").isdigit():
+        block = block[: int(warc["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return {"warc": warc, "status": None, "http": [], "payload": block}
+    head, _, payload = block.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    status = first.split(" ")[1:2]
+    return {"warc": warc, "status": int(status[0]) if status and status[0].isdigit() else None, "http": [pair(x) for x in lines if x], "payload": payload}
+
+
+def whole_records(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Records from a file cut at every line break before "WARC/": cuts inside a record's block are undone by its length."""
+    held = b""
+    for part in parts:
+        held = held + b"\r\n\r\nWARC/" + part if held else part
+        head, _, block = held.partition(b"\r\n\r\n")
+        length = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", head)
+        if length and len(block) < int(length[1]) and len(held) < MAX_RECORD:
             continue
-        warc = fields()
-        block = stream.read(int(warc.get("content-length", 0)))
-        head, _, payload = block.partition(b"\r\n\r\n")
-        http = [tuple(x.strip() for x in h.partition(":")[::2]) for h in head.decode("utf-8", "replace").split("\r\n")[1:]] if head.startswith(b"HTTP/") else []
-        yield {"warc": warc, "http": http, "payload": payload if head.startswith(b"HTTP/") else block}
+        yield held
+        held = b""
+    if held:
+        yield held
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """Response and revisit records of WARC files, as resolve_revisits takes them, with payload; a file is read by one task."""
+def read_warc(spark, path: str, skip_damaged: bool = True) -> DataFrame:
+    """Response and revisit records of WARC files, plain or gzipped, as resolve_revisits takes them, with payload.
 
-    def parsed(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for r in parse_warc(content):
-                    w = r["warc"]
-                    if w.get("warc-type") in ("response", "revisit"):
-                        at = pd.Timestamp(w["warc-date"]).timestamp() if "warc-date" in w else None
-                        rows.append((w.get("warc-record-id"), w["warc-type"], w.get("warc-target-uri"), at and int(at), [{"name": a, "value": b} for a, b in r["http"]], w.get("warc-payload-digest"), r["payload"]))
-                frame = pd.DataFrame(rows, columns=["record_id", "type", "url", "ts", "headers", "digest", "payload"])
-                yield frame.astype({"ts": "Int64"})
+    Spark's line reader cuts files at record borders, so a task holds some records and never a file; plain files are read
+    by several tasks. Defined results: what is no record, or has no time or no id, is passed over or null in that column;
+    a record of less than its length (a truncated file) has what is left, or takes what follows up to its length; a damaged gzip stream ends its file (error if not
+    skip_damaged).
+    """
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(parsed, f"record_id string, type string, url string, ts long, headers {HEADERS}, digest string, payload binary")
+    def parsed(batches):
+        names = ["record_id", "type", "url", "ts", "headers", "digest", "status", "profile", "refers_to", "payload"]
+        parts = (bytes(x) for batch in batches for x in batch["value"])
+        rows, size = [], 0
+        for record in whole_records(parts):
+            r = parse_record(record)
+            if r is None or r["warc"].get("warc-type") not in ("response", "revisit"):
+                continue
+            w = r["warc"]
+            at = pd.to_datetime(w.get("warc-date"), errors="coerce", utc=True)
+            at = None if at is None or pd.isna(at) else int(at.timestamp())
+            rows.append((w.get("warc-record-id"), w["warc-type"], w.get("warc-target-uri"), at, [{"name": a, "value": b} for a, b in r["http"]], w.get("warc-payload-digest"), r["status"], w.get("warc-profile"), w.get("warc-refers-to"), r["payload"]))
+            size += len(record)
+            if size >= BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=names).astype({"ts": "Int64", "status": "Int32"})
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=names).astype({"ts": "Int64", "status": "Int32"})
+
+    lines = spark.read.option("lineSep", "\r\n\r\nWARC/").option("ignoreCorruptFiles", str(skip_damaged).lower()).text(path)
+    kinds = f"record_id string, type string, url string, ts long, headers {HEADERS}, digest string, status int, profile string, refers_to string, payload binary"
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(parsed, kinds)
 
 
 def crawl_of(pages: DataFrame) -> DataFrame:
@@ -209,20 +264,23 @@ k AS (
   SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key,
          CASE WHEN page_id % 11 = 0 THEN page_id + 4000000000 ELSE page_id END AS ts
   FROM h),
+q AS (
+  SELECT *, CASE WHEN page_id % 7 <> 0 THEN CASE WHEN page_id % 5 = 0 THEN '"changed"' ELSE 'W/' || tag END END AS asked_tag,
+         CASE WHEN page_id % 7 = 0 THEN day END AS asked_day, CASE WHEN page_id % 7 <> 0 THEN 'later' END AS asked_date
+  FROM k),
 j AS (
-  SELECT a.page_id, a.url_key, a.tag AS own_tag, a.day AS own_day, r.page_id AS rid, r.tag, r.day, r.digest,
+  SELECT a.page_id, a.url_key, a.asked_tag, a.asked_day, a.asked_date, r.page_id AS rid, r.tag, r.day, r.digest,
          row_number() OVER (PARTITION BY a.page_id ORDER BY r.ts DESC, 'full-' || r.page_id DESC) AS n
-  FROM k a LEFT JOIN k r ON a.url_key = r.url_key AND r.ts < a.page_id + 2000000000),
+  FROM q a LEFT JOIN q r ON a.url_key = r.url_key AND r.ts < a.page_id + 2000000000),
 o AS (
   SELECT *, CASE WHEN rid IS NULL THEN 'no_response'
-                 WHEN page_id % 7 = 0 THEN CASE WHEN own_day = day THEN 'resolved' ELSE 'date_mismatch' END
-                 WHEN page_id % 5 = 0 THEN 'etag_mismatch'
-                 WHEN own_tag = tag THEN 'resolved' ELSE 'etag_mismatch' END AS outcome
+                 WHEN asked_tag IS NOT NULL AND tag IS NOT NULL THEN CASE WHEN ltrim(asked_tag, 'W/') = tag THEN 'resolved' ELSE 'etag_mismatch' END
+                 WHEN asked_day IS NOT NULL AND day IS NOT NULL THEN CASE WHEN asked_day = day THEN 'resolved' ELSE 'date_mismatch' END
+                 ELSE 'unvalidated' END AS outcome
   FROM j WHERE n = 1)
 SELECT page_id, url_key, outcome, 'full-' || rid AS response_id,
-       CASE WHEN outcome = 'resolved' THEN digest END AS digest,
-       CASE WHEN outcome = 'resolved' THEN
-         CASE WHEN page_id % 7 = 0 THEN 'content-type=text/html;date=' || day || ';etag=' || tag || ';last-modified=' || own_day
-              ELSE 'content-type=text/html;date=later;etag=W/' || own_tag || ';last-modified=' || day END END AS merged
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN digest END AS digest,
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN
+         'content-type=text/html;date=' || coalesce(asked_date, day) || ';etag=' || coalesce(asked_tag, tag) || ';last-modified=' || coalesce(asked_day, day) END AS merged
 FROM o
 """

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from spindrift.llm import warc
-from spindrift.llm.warc import canonical_url, op3_warc_revisits, parse_warc, read_warc, resolve_revisits
+from spindrift.llm.warc import canonical_url, op3_warc_revisits, read_warc, resolve_revisits, whole_records
 
 SCHEMA = f"record_id string, type string, url string, ts long, headers {warc.HEADERS}, digest string"
 
@@ -86,9 +86,44 @@ def test_warc_files(spark, tmp_path):
         return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Target-URI: http://a.com/\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: d-{rid}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
     data = record("response", "one", "2026-01-01T00:00:00Z", body) + record("metadata", "m", "2026-01-01T00:00:00Z", b"x") + record("revisit", "two", "2026-01-02T00:00:00Z", again)
-    assert [r["warc"]["warc-type"] for r in parse_warc(data)] == ["response", "metadata", "revisit"] == [r["warc"]["warc-type"] for r in parse_warc(gzip.compress(data))]
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
-    found = read_warc(spark, f"file://{tmp_path}/*.warc.gz")
-    assert {bytes(r["payload"]) for r in found.collect()} == {b"<html>", b""}
-    row = resolve_revisits(found.drop("payload")).first()
-    assert row["outcome"] == "resolved" and row["digest"] == "d-one"
+    (tmp_path / "b.warc").write_bytes(data)
+    for name in ("a.warc.gz", "b.warc"):
+        found = read_warc(spark, f"file://{tmp_path}/{name}")
+        assert sorted((r["record_id"], bytes(r["payload"]), r["status"]) for r in found.collect()) == [("one", b"<html>", 200), ("two", b"", 304)]
+        row = resolve_revisits(found.drop("payload")).first()
+        assert row["outcome"] == "resolved" and row["digest"] == "d-one"
+
+
+def test_damaged_and_odd_warc_files(spark, tmp_path):
+    rng = random.Random(1)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + rng.randbytes(rng.randint(0, 3_000)) + rng.choice([b"", b"\r\n\r\nWARC/1.0\r\nnot a record", b"\r\n\r\n"]) for _ in range(50)]
+    rec = lambda i, b, n=None: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: r{i}\r\nContent-Length: {len(b) if n is None else n}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    data = b"".join(rec(i, b) for i, b in enumerate(blocks))
+    members = b"".join(gzip.compress(rec(i, b)) for i, b in enumerate(blocks))
+    want = sorted((f"r{i}", b[19:]) for i, b in enumerate(blocks))
+    got = lambda name: sorted((r["record_id"], bytes(r["payload"])) for r in read_warc(spark, f"file://{tmp_path}/{name}").collect())
+    (tmp_path / "whole.warc").write_bytes(data)
+    (tmp_path / "members.warc.gz").write_bytes(members)
+    (tmp_path / "cut.warc.gz").write_bytes(members[: len(members) // 2])
+    (tmp_path / "length.warc").write_bytes(rec(0, b"short", "many") + rec(1, b"last", 4_000))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert got("whole.warc") == want == got("members.warc.gz")
+    cut = got("cut.warc.gz")
+    assert 10 < len(cut) < 50 and set(cut[:-1]) & set(want)
+    assert got("length.warc") == [("r0", b"short"), ("r1", b"last\r\n\r\n")] and got("empty.warc") == []
+    assert list(whole_records(iter([]))) == []
+
+
+def test_only_full_responses_and_not_modified_revisits(spark):
+    rows = [
+        ("ok", "response", "http://a.com", 1, None, "p1", 200, None, None),
+        ("lost", "response", "http://a.com", 2, None, "p2", 404, None, None),
+        ("moved", "response", "http://a.com", 3, None, "p3", 301, None, None),
+        ("part", "response", "http://a.com", 4, None, "p4", 206, None, None),
+        ("asked", "revisit", "http://a.com", 5, None, None, 304, "http://netpreserve.org/warc/1.1/revisit/server-not-modified", "ok"),
+        ("elsewhere", "revisit", "http://a.com", 6, None, None, None, None, "part"),
+        ("same", "revisit", "http://a.com", 7, None, "p1", 200, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "ok"),
+    ]
+    out = {r["record_id"]: r for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA + ", status int, profile string, refers_to string")).collect()}
+    assert [(out[i]["outcome"], out[i]["response_id"], out[i]["as_referred"]) for i in ("asked", "elsewhere", "same")] == [("unvalidated", "ok", True), ("unvalidated", "ok", False), ("other_profile", None, None)]
