@@ -22,8 +22,9 @@ tiled comparison only finds candidates: a text has 320 bits over its set of shin
 first 64 are compared within a wide radius, all of them where these agree, and texts whose
 sets differ too much in size are never compared. Candidates are then settled by the exact
 similarity of their sets, in two rounds: the first takes a spanning forest of each block
-pair's candidates, the second every candidate whose texts the first has not joined. So a
-group of many copies costs links in proportion to its size, and no candidate is left out.
+pair's candidates; the second compares, inside the tiles, the sets of every candidate pair
+that the first has not joined, and hands on a spanning forest of the similar ones. So a group
+of many copies costs links in proportion to its size, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from .decontaminate import rolling
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a block (8 bytes each) and of a tile inside it.
 BLOCK, TILE = 16_384, 256
+#: Hashes of the sets in a block of the stage's second round (8 bytes each), and of the sets compared at once.
+SET_BLOCK, SET_CHUNK = 2_000_000, 4_000_000
 #: The stage: words of a shingle; least Jaccard similarity as a fraction.
 STAGE_SHINGLE, SIMILAR = 5, (4, 5)
 #: Candidates: differing bits of the first 64, of all 320, and of all where a set has at most FEW shingles. At similarity 0.8 some
@@ -240,17 +243,11 @@ def sketches(text: str | Column) -> Column:
     return of(text)
 
 
-def _candidates(x: np.ndarray, y: np.ndarray, same: bool, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of candidates of different components in blocks x and y (columns: _SKETCH, component).
-
-    every: all of them; else for each row and column of a tile the closest and the first, of which a spanning forest.
-    """
-    x_order, y_order = np.argsort(x[:, 1], kind="stable"), np.argsort(y[:, 1], kind="stable")
-    x, y = x[x_order], y[y_order]
+def _near(x: np.ndarray, y: np.ndarray, same: bool):
+    """Candidates between blocks x and y (columns: _SKETCH and more), both in order of size, tile by tile: positions i and j and the bits they differ in."""
     xp, yp = np.ascontiguousarray(x[:, 2 : 2 + PRINTS].T).view(np.uint64), np.ascontiguousarray(y[:, 2 : 2 + PRINTS].T).view(np.uint64)
     num, den = SIMILAR
     side = 4 * TILE
-    found = []
     for s in range(0, len(x), side):
         m = x[s : s + side, 1]
         lo = np.searchsorted(y[:, 1] * den, m[0] * num, "left")
@@ -264,98 +261,190 @@ def _candidates(x: np.ndarray, y: np.ndarray, same: bool, every: bool) -> tuple[
             if same:
                 i, j = i[i < j], j[i < j]
             a, b = x[i, 1], y[j, 1]
-            keep = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (x[i, -1] != y[j, -1])
+            keep = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (x[i, 0] != y[j, 0])
             i, j, few = i[keep], j[keep], np.minimum(a, b)[keep] <= FEW
             apart = np.bitwise_count(xp[:, i] ^ yp[:, j]).sum(0, dtype=np.int64)
             keep = apart <= np.where(few, WIDE_FEW, WIDE)
-            i, j, apart = i[keep], j[keep], apart[keep]
-            if len(i) and not every:
-                chosen = [np.unique(k, return_index=True)[1] for k in (i, j)]
-                near = np.argsort(apart, kind="stable")
-                chosen += [near[np.unique(k[near], return_index=True)[1]] for k in (i, j)]
-                chosen = np.unique(np.concatenate(chosen))
-                i, j, apart = i[chosen], j[chosen], apart[chosen]
-            if len(i):
-                found.append((i, j, apart))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-    if not every:
-        parent = np.arange(len(x) + (0 if same else len(y))).tolist()
+            if keep.any():
+                yield i[keep], j[keep], apart[keep]
 
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = k = parent[parent[k]]
+
+class _Joined:
+    """Groups of positions, joined as links are found; group names every position's."""
+
+    def __init__(self, group: np.ndarray):
+        self.group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join the groups of a and b, link by link; whether each link joined two."""
+        root = np.arange(int(self.group.max(initial=-1)) + 1).tolist()
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
             return k
 
-        order, keep = np.argsort(apart, kind="stable"), []
-        for k, a, b in zip(order.tolist(), i[order].tolist(), (j[order] + (0 if same else len(x))).tolist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[b] = a
-                keep.append(k)
-        i, j = i[keep], j[keep]
-    return x_order[i], y_order[j]
+        new = np.zeros(len(a), bool)
+        for k, (p, q) in enumerate(zip(self.group[a].tolist(), self.group[b].tolist(), strict=True)):
+            p, q = find(p), find(q)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                new[k] = True
+        if new.any():
+            self.group = np.array([find(k) for k in range(len(root))], np.int64)[self.group]
+        return new
 
 
-def candidates(sets: DataFrame, every: bool) -> DataFrame:
-    """sets: _SKETCH and component, no two keys equal. Pairs (a, b) of keys that may be similar, see _candidates."""
+def _forest_of_candidates(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a spanning forest of the candidates: of those that are the closest or the first of a row or column of a tile, the closest."""
+    x_order, y_order = np.argsort(x[:, 1], kind="stable"), np.argsort(y[:, 1], kind="stable")
+    found = []
+    for i, j, apart in _near(x[x_order], y[y_order], same):
+        chosen = [np.unique(k, return_index=True)[1] for k in (i, j)]
+        near = np.argsort(apart, kind="stable")
+        chosen += [near[np.unique(k[near], return_index=True)[1]] for k in (i, j)]
+        chosen = np.unique(np.concatenate(chosen))
+        found.append((i[chosen], j[chosen], apart[chosen]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(apart, kind="stable")
+    i, j = i[order], j[order]
+    new = _Joined(np.arange(len(x) + (0 if same else len(y)))).join(i, j + (0 if same else len(x)))
+    return x_order[i[new]], y_order[j[new]]
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes the sets left[i] and right[j] share, for each pair."""
+    own = np.unique(j)
+    salt = np.arange(len(own), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # every set of the right side in one sorted array, told apart by a salt of its own
+    with np.errstate(over="ignore"):
+        every = np.sort(np.concatenate([right[k] ^ salt[m] for m, k in enumerate(own.tolist())]))
+    place = np.searchsorted(own, j)
+    out = np.zeros(len(i), np.int64)
+    size = np.array([len(left[k]) for k in i.tolist()])
+    first = 0
+    for last in (np.flatnonzero(np.diff(np.cumsum(size) // SET_CHUNK)) + 1).tolist() + [len(i)]:
+        n = size[first:last]
+        asked = np.concatenate([left[k] for k in i[first:last].tolist()]) ^ np.repeat(salt[place[first:last]], n)
+        at = np.minimum(np.searchsorted(every, asked), len(every) - 1)
+        out[first:last] = np.add.reduceat((every[at] == asked).astype(np.int64), np.cumsum(n) - n)
+        first = last
+    return out
+
+
+def _forest_of_similar(x: np.ndarray, y: np.ndarray, x_sets: list[np.ndarray], y_sets: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a spanning forest of the similar pairs of different components (the column after _SKETCH)."""
+    x_order, y_order = np.argsort(x[:, 1], kind="stable"), np.argsort(y[:, 1], kind="stable")
+    x, y = x[x_order], y[y_order]
+    x_sets, y_sets = [x_sets[k] for k in x_order.tolist()], [y_sets[k] for k in y_order.tolist()]
+    far = 0 if same else len(x)
+    joined = _Joined(x[:, -1] if same else np.concatenate([x[:, -1], y[:, -1]]))
+    num, den = SIMILAR
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j, _ in _near(x, y, same):
+        apart = joined.group[i] != joined.group[j + far]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            continue
+        shared = shared_counts(x_sets, y_sets, i, j)
+        alike = shared * den >= (x[i, 1] + y[j, 1] - shared) * num
+        i, j = i[alike], j[alike]
+        new = joined.join(i, j + far)
+        out_i.append(i[new])
+        out_j.append(j[new])
+    return x_order[np.concatenate(out_i)], y_order[np.concatenate(out_j)]
+
+
+def block_pairs(sets: DataFrame, columns: list[str], with_sets: bool) -> DataFrame:
+    """sets: _SKETCH, columns and, if with_sets, set (binary). Pairs of blocks that may hold candidates: rows (_SKETCH and
+    columns, flat), sets, and others, other_sets (null: the block itself)."""
     spark = sets.sparkSession
     # sizes that are similar fall in the same band or in adjacent ones (a little wider than the ratio, for rounding)
-    banded = sets.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(1.01 * SIMILAR[1] / SIMILAR[0]))).cast("int"))
-    blocks = {r["band"]: -(-r["n"] // BLOCK) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few dozen rows
+    width = float(np.log(1.01 * SIMILAR[1] / SIMILAR[0]))
+    banded = sets.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
+    most = lambda band: max(1, min(BLOCK, int(SET_BLOCK / np.exp((band + 1) * width)))) if with_sets else BLOCK
+    blocks = {r["band"]: -(-r["n"] // most(r["band"])) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few dozen rows
     dealt = spark.createDataFrame(list(blocks.items()), "band int, n int")
     banded = banded.join(F.broadcast(dealt), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
-    tiles = materialise(banded.groupBy("band", "part").agg(F.flatten(F.collect_list(F.array(*_SKETCH, "component"))).alias("rows")), "tiles")
-    plan = [(k, p, w, q) for k, n in blocks.items() for p in range(n) for w in (k, k + 1) for q in range(p if w == k else 0, blocks.get(w, 0))]
-    plan = spark.createDataFrame(plan, "band int, part int, w int, q int")
-    right = tiles.select(F.col("band").alias("w"), F.col("part").alias("q"), F.col("rows").alias("others"))
+    row = F.struct(F.array(*_SKETCH, *columns).alias("row"), (F.col("set") if with_sets else F.lit(None).cast("binary")).alias("set"))
+    tiles = banded.groupBy("band", "part").agg(F.collect_list(row).alias("t"))
+    tiles = materialise(tiles.select("band", "part", F.flatten("t.row").alias("rows"), F.col("t.set").alias("sets")), "tiles")
+    # each block with itself and the blocks after it in its own and the next band
+    plan = spark.createDataFrame([(k, w, blocks[w]) for k in blocks for w in (k, k + 1) if w in blocks], "band int, w int, n_w int")
+    left = tiles.join(F.broadcast(plan), "band").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_w") - 1))).where((F.col("w") != F.col("band")) | (F.col("q") >= F.col("part")))
+    right = tiles.select(F.col("band").alias("w"), F.col("part").alias("q"), F.col("rows").alias("others"), F.col("sets").alias("other_sets"))
     own = (F.col("band") == F.col("w")) & (F.col("part") == F.col("q"))
-    pairs = tiles.join(plan, ["band", "part"]).join(right, ["w", "q"]).select("rows", F.when(~own, F.col("others")).alias("others"))
-    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, sum(blocks.values())))
+    pairs = left.join(right, ["w", "q"]).select("rows", "sets", F.when(~own, F.col("others")).alias("others"), F.when(~own, F.col("other_sets")).alias("other_sets"))
+    # about one pair of blocks a task, as what Python gets at once isn't bounded by bytes
+    n_pairs = sum(n * (n + 1) // 2 + n * blocks.get(k + 1, 0) for k, n in blocks.items())
+    return pairs.repartition(min(100_000, max(spark.sparkContext.defaultParallelism, n_pairs)))
+
+
+def linked(pairs: DataFrame, n_columns: int, verified: bool) -> DataFrame:
+    """Keys (a, b) of the forest of each pair of blocks: of candidates, or, verified, of similar sets."""
 
     def compare(batches):
         for batch in batches:
-            for mine, other in zip(batch["rows"], batch["others"], strict=True):
-                x = np.asarray(mine, np.int64).reshape(-1, len(_SKETCH) + 1)
-                y = x if other is None else np.asarray(other, np.int64).reshape(-1, len(_SKETCH) + 1)
-                i, j = _candidates(x, y, other is None, every)
+            for mine, own_sets, other, other_sets in zip(batch["rows"], batch["sets"], batch["others"], batch["other_sets"], strict=True):
+                x = np.asarray(mine, np.int64).reshape(-1, len(_SKETCH) + n_columns)
+                y = x if other is None else np.asarray(other, np.int64).reshape(-1, len(_SKETCH) + n_columns)
+                if verified:
+                    x_sets = [np.frombuffer(s, np.uint64) for s in own_sets]
+                    y_sets = x_sets if other is None else [np.frombuffer(s, np.uint64) for s in other_sets]
+                    i, j = _forest_of_similar(x, y, x_sets, y_sets, other is None)
+                else:
+                    i, j = _forest_of_candidates(x, y, other is None)
                 yield pd.DataFrame({"a": np.minimum(x[i, 0], y[j, 0]), "b": np.maximum(x[i, 0], y[j, 0])})
 
     return pairs.mapInPandas(compare, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. members: key, _hash, _id of one row for each key; texts: _id, _hash, _text."""
+def sets_of(keys: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and set (its hashes as bytes). keys: key. members: key, _hash, _id of one row for each key; texts: _id, _hash, _text."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def as_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+        return pd.Series([shingle_set(t).tobytes() for t in texts])
 
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(members, "key").select("key", F.col("_hash").alias("_h"), F.col("_id").alias("_i"))
+    asked = keys.join(members, "key").select("key", F.col("_hash").alias("_h"), F.col("_id").alias("_i"))
     # one row a key, except where ids repeat
     rows = texts.join(asked, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i"))).select("key", "_text").dropDuplicates(["key"])
-    sets = materialise(rows.select("key", as_set("_text").alias("set")), "sets")
+    return rows.select("key", as_set("_text").alias("set"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (key, set) are similar; pairs are links of a forest, so they grow with the sets."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        num, den = SIMILAR
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared * den >= (len(x) + len(y) - shared) * num)
+        return pd.Series(out, dtype=bool)
+
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    num, den = SIMILAR
-    return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+    return both.where(alike("sa", "sb")).select("a", "b")
 
 
 def similar_groups(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """key and component of each set that is similar to another; prints: _id, _hash, _SKETCH of every row."""
     # all rows of a key have the same sketch
     one = F.min(F.struct("_hash", "_id")).alias("m")
-    sets = materialise(prints.where("size > 0").groupBy("key").agg(one, *[F.min(c).alias(c) for c in _SKETCH[1:]]).select(*_SKETCH, "m.*"), "sketches")
-    members = sets.select("key", "_hash", "_id")
-    first = materialise(candidates(sets.select(*_SKETCH, F.col("key").alias("component")), False), "candidates")
-    links = materialise(similar(first, members, texts), "similar")
-    joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    sketched = materialise(prints.where("size > 0").groupBy("key").agg(one, *[F.min(c).alias(c) for c in _SKETCH[1:]]).select(*_SKETCH, "m.*"), "sketches")
+    first = materialise(linked(block_pairs(sketched.select(*_SKETCH), [], False), 0, False), "candidates")
     # the forest touches every set that has a candidate
     touched = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
-    left = sets.select(*_SKETCH).join(touched, "key").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rest = materialise(candidates(left, True).join(first, ["a", "b"], "left_anti"), "candidates")
-    return connected_components(links.union(similar(rest, members, texts)), "a", "b").withColumnRenamed("node", "key")
+    sets = materialise(sets_of(touched, sketched.select("key", "_hash", "_id"), texts), "sets")
+    links = materialise(similar(first, sets), "similar")
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    left = sketched.select(*_SKETCH).join(sets, "key").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rest = materialise(linked(block_pairs(left, ["component"], True), 1, True), "similar")
+    return connected_components(links.union(rest), "a", "b").withColumnRenamed("node", "key")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
