@@ -10,16 +10,30 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_key
 from ..schemas import ACCENTS
 
-# Fixed allowlist, version v1: spellings of each class as sources write them.
+# Fixed allowlist, version v1: the class of each spelling that sources write.
 TAXONOMY_V1 = {
-    "en-US": ["united states english", "american english", "us english", "mainstream us english"],
-    "en-GB": ["england english", "british english", "southern british english", "northern british english", "received pronunciation"],
-    "en-AU": ["australian english"],
-    "en-IN": ["india and south asia (india, pakistan, sri lanka)", "indian english"],
-    "L1-Mandarin": ["mandarin", "chinese", "chinese accent"],
-    "L1-Spanish": ["spanish", "spanish accent", "spanish (mexican)"],
-    "L1-Korean": ["korean", "korean accent"],
-    "L1-Arabic": ["arabic", "arabic accent"],
+    "united states english": "en-US",
+    "american english": "en-US",
+    "us english": "en-US",
+    "mainstream us english": "en-US",
+    "england english": "en-GB",
+    "british english": "en-GB",
+    "southern british english": "en-GB",
+    "northern british english": "en-GB",
+    "received pronunciation": "en-GB",
+    "australian english": "en-AU",
+    "india and south asia (india, pakistan, sri lanka)": "en-IN",
+    "indian english": "en-IN",
+    "mandarin": "L1-Mandarin",
+    "chinese": "L1-Mandarin",
+    "chinese accent": "L1-Mandarin",
+    "spanish": "L1-Spanish",
+    "spanish accent": "L1-Spanish",
+    "spanish (mexican)": "L1-Spanish",
+    "korean": "L1-Korean",
+    "korean accent": "L1-Korean",
+    "arabic": "L1-Arabic",
+    "arabic accent": "L1-Arabic",
 }
 
 
@@ -35,7 +49,7 @@ class Taxonomy:
 
     @classmethod
     def v1(cls) -> Taxonomy:
-        return cls("v1", {" ".join(k.lower().split()): label for label, keys in TAXONOMY_V1.items() for k in keys})
+        return cls("v1", dict(TAXONOMY_V1))
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, v) for k, v in self.mapping.items()], "taxonomy_key string, taxonomy_label string")

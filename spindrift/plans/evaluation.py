@@ -147,22 +147,22 @@ sd AS (SELECT seed, max(f1) FILTER (WHERE arm = '{a}') - max(f1) FILTER (WHERE a
 _BOOT_COLUMNS = f"{six_sql('avg(delta)', 'delta_mean')}, {six_sql('quantile_cont(delta, 0.025)', 'ci_low')}, {six_sql('quantile_cont(delta, 0.975)', 'ci_high')}, count(*) AS n_boot, {six_sql('(SELECT stddev_pop(d) FROM sd)', 'seed_delta_std')}, quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0 AS ci_excludes_zero"
 
 
-@query("E2_cluster_bootstrap", f"WITH {_boot_sql(100, 'c_gold_weak', 'b_gold_oversampled')} SELECT {_BOOT_COLUMNS} FROM dl")
+@query("E2_cluster_bootstrap", f"WITH {_boot_sql(10_000, 'c_gold_weak', 'b_gold_oversampled')} SELECT {_BOOT_COLUMNS} FROM dl")
 def _(s, d):
-    out = bootstrap.cluster_bootstrap(v.predictions(s, d), "c_gold_weak", "b_gold_oversampled", n_boot=100)
+    out = bootstrap.cluster_bootstrap(v.predictions(s, d), "c_gold_weak", "b_gold_oversampled", n_boot=10_000)
     return rounded(out.select("delta_mean", "ci_low", "ci_high", "n_boot", "seed_delta_std", "ci_excludes_zero"), "delta_mean", "ci_low", "ci_high", "seed_delta_std")
 
 
 @query(
     "E3_ablation_table",
     "SELECT 'C-B' AS comparison, true AS headline, x.* FROM (WITH "
-    + _boot_sql(50, "c_gold_weak", "b_gold_oversampled")
+    + _boot_sql(10_000, "c_gold_weak", "b_gold_oversampled")
     + f" SELECT {_BOOT_COLUMNS} FROM dl) x UNION ALL SELECT 'A-B', false, x.* FROM (WITH "
-    + _boot_sql(50, "a_gold", "b_gold_oversampled")
+    + _boot_sql(10_000, "a_gold", "b_gold_oversampled")
     + f" SELECT {_BOOT_COLUMNS} FROM dl) x",
 )
 def _(s, d):
-    out = bootstrap.ablation_table(v.predictions(s, d), n_boot=50)
+    out = bootstrap.ablation_table(v.predictions(s, d), n_boot=10_000)
     return rounded(out.select("comparison", "headline", "delta_mean", "ci_low", "ci_high", "n_boot", "seed_delta_std", "ci_excludes_zero"), "delta_mean", "ci_low", "ci_high", "seed_delta_std")
 
 

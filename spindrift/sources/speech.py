@@ -19,12 +19,30 @@ from .files import exists, read_csv, read_tsv
 
 # Fixed: first language of each speaker directory of the read-speech corpus; those the taxonomy lacks are dropped later.
 L1_OF_SPEAKER = {
-    "Arabic": ["ABA", "SKA", "YBAA", "ZHAA"],
-    "Mandarin": ["BWC", "LXC", "NCC", "TXHC"],
-    "Hindi": ["ASI", "RRBI", "SVBI", "TNI"],
-    "Korean": ["HJK", "HKK", "YDCK", "YKWK"],
-    "Spanish": ["EBVS", "ERMS", "MBMPS", "NJS"],
-    "Vietnamese": ["HQTV", "PNV", "THV", "TLV"],
+    "ABA": "Arabic",
+    "SKA": "Arabic",
+    "YBAA": "Arabic",
+    "ZHAA": "Arabic",
+    "BWC": "Mandarin",
+    "LXC": "Mandarin",
+    "NCC": "Mandarin",
+    "TXHC": "Mandarin",
+    "ASI": "Hindi",
+    "RRBI": "Hindi",
+    "SVBI": "Hindi",
+    "TNI": "Hindi",
+    "HJK": "Korean",
+    "HKK": "Korean",
+    "YDCK": "Korean",
+    "YKWK": "Korean",
+    "EBVS": "Spanish",
+    "ERMS": "Spanish",
+    "MBMPS": "Spanish",
+    "NJS": "Spanish",
+    "HQTV": "Vietnamese",
+    "PNV": "Vietnamese",
+    "THV": "Vietnamese",
+    "TLV": "Vietnamese",
 }
 
 
@@ -73,7 +91,7 @@ def common_voice(spark: SparkSession, root: str, columns: list[str], tsv: str =
 
 def speaker_directories(spark: SparkSession, root: str, l1_of: dict[str, str] | None = None, uri: str = "local://l2_arctic") -> DataFrame:
     """{SPEAKER}/wav/*.wav; a directory without a first language raises KeyError."""
-    l1_of = l1_of or {s: l1 for l1, speakers in L1_OF_SPEAKER.items() for s in speakers}
+    l1_of = l1_of or L1_OF_SPEAKER
     dim = spark.createDataFrame(list(l1_of.items()), "_speaker string, _l1 string")
     files = probe_files(spark, root).withColumn("_dir", F.regexp_extract("path", r"([^/]+)/wav/[^/]+$", 1)).where("_dir <> ''")
     unknown = files.join(F.broadcast(dim), F.col("_dir") == F.col("_speaker"), "left_anti").select("_dir").distinct().limit(5).collect()
