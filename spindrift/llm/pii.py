@@ -28,7 +28,7 @@ so further columns can't clash. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -75,7 +75,7 @@ def _passes(kind: str, value: Column) -> Column:
 
 
 #: Matches that a text's places are summed over at once: folding all in one array takes time with the square of their number.
-FOLD = 128
+FOLD = 32
 _MATCHES = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -137,15 +137,9 @@ def protected_spans(text: Column) -> Column:
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """_row, term, start, end of every term that no base span overlaps; rows: _row, _text, _base."""
-    found = F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))
-    between = F.split("_text", TERM, -1)
-    placed = rows.select("_row", "_base", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))).alias("at", "t"))
-    # a running sum, as an array built in one expression takes time with the square of the terms
-    end = F.sum(F.length("t.gap") + F.length("t.m")).over(Window.partitionBy("_row").orderBy("at")).cast("int")
-    placed = placed.withColumn("end", end).withColumn("start", F.col("end") - F.length("t.m"))
-    free = placed.where(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    return free.select("_row", F.lower("t.m").alias("term"), "start", "end")
+    """_row, term, start, end of every term that no base span overlaps; rows: _row, _text, _base. Nothing is shuffled for it."""
+    free = F.filter(matches(F.col("_text"), TERM), lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    return rows.select("_row", F.explode(free).alias("m")).select("_row", F.lower("m.value").alias("term"), "m.start", "m.end")
 
 
 #: Terms, entities and repeated texts (some 40 bytes each) up to this number go to every executor; more are joined by a shuffle.
@@ -202,7 +196,7 @@ def find(
     docs: DataFrame,
     support: int = 2,
     class_support: int = 5,
-    generalise: float = 0.75,
+    generalise: float = 0.9,
     remove_from: float = 0.95,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -77,7 +77,7 @@ def classes(kind, value):
     return {"email": value.split("@")[-1].lower(), "ip": value.rsplit(".", 1)[0]}.get(kind, digits[:6])
 
 
-def telling_of(texts, support=2, class_support=5, generalise=0.75):
+def telling_of(texts, support=2, class_support=5, generalise=0.9):
     """Terms that tell of a value or its class, by plain counting over distinct texts."""
     texts = sorted(set(texts))
     n = len(texts)
@@ -128,7 +128,7 @@ def test_terms_are_marked_where_no_value_stands(spark):
     rows = corpus()
     rows += [(500 + i, f"{rows[2 + i][1]} Quillfeather was here", "en", "s") for i in range(3)]
     want, out = check_against_counting(spark, rows)
-    assert 0.75 <= want["quillfeather"] < 0.95
+    assert 0.9 <= want["quillfeather"] < 0.95
     assert all([x["action"] for x in out[500 + i]["terms"]] == ["generalise"] and not out[500 + i]["base"] for i in range(3))
 
 
