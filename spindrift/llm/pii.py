@@ -138,7 +138,9 @@ def protected_spans(text: Column) -> Column:
 
 def _occurrences(rows: DataFrame) -> DataFrame:
     """_row, term, start, end of every term that no base span overlaps; rows: _row, _text, _base. Nothing is shuffled for it."""
-    free = F.filter(matches(F.col("_text"), TERM), lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    # as one element of an array both are worked out once a text, not the spans again for every term
+    both = F.array(F.struct(matches(F.col("_text"), TERM).alias("found"), F.col("_base").alias("base")))
+    free = F.transform(both, lambda z: F.filter(z["found"], lambda m: ~F.exists(z["base"], lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))))[0]
     return rows.select("_row", F.explode(free).alias("m")).select("_row", F.lower("m.value").alias("term"), "m.start", "m.end")
 
 
