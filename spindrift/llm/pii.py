@@ -45,7 +45,7 @@ PATTERNS = {
 #: What any match of a kind holds; texts without it aren't searched further.
 NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(PATTERNS["ip"]), "card": lambda t: t.rlike(PATTERNS["card"]), "phone": lambda t: t.contains("+")}
 #: A secret's value, by the name it is assigned to; what any text with one holds.
-SECRET = r"""(?<=(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]{0,16}["']?[\x20\t]{0,2}[:=]{1,2}[\x20\t]{0,2}["']?)(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"""
+SECRET = r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])(?<=(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]{0,16}["']?[\x20\t]{0,2}[:=]{1,2}[\x20\t]{0,2}["']?)[A-Za-z0-9+/_=-]{16,}+"""
 SECRET_NAME = r"""(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]{0,16}["']?[\x20\t]{0,2}[:=]"""
 #: Terms are runs of letters and digits.
 TERM = r"[\p{L}\p{N}]+"
@@ -74,44 +74,37 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-#: Matches that a text's places are summed over at once: folding all in one array takes time with the square of their number.
-FOLD = 32
 _MATCHES = "array<struct<start:int,end:int,value:string>>"
 
 
-def _folded(gaps: Column, at: Column) -> Column:
-    """Places of matches that follow each other from at on; gaps: array<struct<m, gap>>."""
-    return F.aggregate(
-        gaps,
-        F.struct(at.alias("at"), F.array().cast(_MATCHES).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"))),
-            ).alias("out"),
-        ),
-    )["out"]
+def _running(steps: Column) -> Column:
+    """Running sums of array<int>, in parts of about the square root of its size: what a fold carries is copied at every step, so it holds few numbers and no text."""
+
+    def summed(part: Column, start: Column) -> Column:
+        carried = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, carried, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))["out"]
+
+    fold = F.ceil(F.sqrt(F.size(steps))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / fold).cast("int")), lambda i: F.slice(steps, i * fold + 1, fold))
+
+    def over(parts: Column) -> Column:
+        totals = summed(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)), F.lit(0))
+        return F.flatten(F.zip_with(parts, F.concat(F.array(F.lit(0)), F.slice(totals, F.lit(1), F.size(parts) - 1)), summed))
+
+    return F.when(F.size(steps) > 0, F.transform(F.array(cut), over)[0]).otherwise(F.array().cast("array<int>"))
 
 
 def matches(text: Column, pattern: str, if_any: Column | None = None) -> Column:
     """All matches as array<struct<start, end, value>>; what stands between them gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"))
-    length = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["m"]))
-
-    def placed(gaps: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / FOLD).cast("int")), lambda i: F.slice(gaps, i * FOLD + 1, F.lit(FOLD)))
-        starts = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:array<struct<m:string,gap:string>>>>").alias("out")),
-            lambda acc, part: F.struct((acc["at"] + length(part)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))).alias("out")),
-        )["out"]
-        return F.when(F.size(gaps) > 0, F.flatten(F.transform(starts, lambda p: _folded(p["part"], p["at"])))).otherwise(F.array().cast(_MATCHES))
-
-    # as an element of an array the gaps are worked out once, not again wherever a function names them
-    every = F.transform(F.array(zipped), placed)[0]
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+
+    def placed(z: Column) -> Column:
+        steps = F.zip_with(z["m"], F.slice(z["gap"], F.lit(1), F.size(z["m"])), lambda m, gap: F.length(gap) + F.length(m))
+        ends = F.transform(F.array(steps), _running)[0]
+        return F.zip_with(z["m"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+
+    # as an element of an array a value is worked out once, not again wherever a function names it
+    every = F.transform(F.array(found), placed)[0]
     return every if if_any is None else F.when(if_any, every).otherwise(F.array().cast(_MATCHES))
 
 
@@ -167,7 +160,7 @@ def telling_terms(base: DataFrame, words: DataFrame, support: int, class_support
     """term and share of the terms that tell of some entity.
 
     base: _row, _h1, _h2 (which name a text), _text (null without spans), _base of every document. words: _h1, _h2 and
-    term, a row for each document and distinct term.
+    term, a row for each document and distinct term (null where there is none).
     """
     texts = base.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("_text").isNotNull(), F.col("_row"))).alias("_row"))
     texts = materialise(texts.where("copies > 1 OR _row IS NOT NULL"), "pii_texts")
@@ -210,12 +203,13 @@ def find(
     # row numbers are written down with the rows, so later reads agree on them
     base = materialise(base.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))).withColumn("_row", F.monotonically_increasing_id()), "pii")
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    # explode_outer: explode would bring a filter on the words, and with it take every text apart twice; a null term joins nothing
     words = docs.select(*named, words.alias("words"))
-    telling = telling_terms(base, words.select(*_TEXT, F.explode("words").alias("term")), support, class_support, generalise)
+    telling = telling_terms(base, words.select(*_TEXT, F.explode_outer("words").alias("term")), support, class_support, generalise)
 
     # the texts that hold a telling term, each once; then where its terms stand
     small = _small(telling)
-    told = materialise(words.select(*_TEXT, F.explode("words").alias("term")).join(small, "term", "left_semi").select(*_TEXT).distinct(), "pii_told")
+    told = materialise(words.select(*_TEXT, F.explode_outer("words").alias("term")).join(small, "term", "left_semi").select(*_TEXT).distinct(), "pii_told")
     asked = docs.select(*named, text.alias("_text")).join(_small(told), _TEXT, "left_semi").dropDuplicates(_TEXT)
     asked = asked.select(F.struct(*_TEXT).alias("_row"), "_text", protected_spans(F.col("_text")).alias("_base"))
     action = F.when(F.col("share") >= remove_from, "remove").otherwise("generalise")
