@@ -110,6 +110,64 @@ def test_verdicts_by_brute_force(spark, world):
         assert abs(r["anomaly_score"] - scores[i]) < 1e-9 and r["kept"] == (not r["base_failed"] and scores[i] < rules.threshold)
 
 
+def test_bounds_and_threshold_take_every_labelled_row(spark):
+    n, rng = 30_001, np.random.default_rng(4)
+    stats = pd.DataFrame({"n_words": rng.integers(60, 3_000, n)})
+    stats["word_chars"] = (stats.n_words * rng.normal(5, 0.3, n)).astype(int)
+    good = rng.random(n) < 0.95
+    stats["n_symbols"] = np.where(good, rng.poisson(0.01 * stats.n_words), rng.poisson(0.03 * stats.n_words))
+    stats["n_dup_lines"], stats["n_repeat_words"] = rng.poisson(0.2, n), (rng.random(n) ** 9 * 0.4 * stats.n_words).astype(int)
+    stats = stats.astype("int64")[isolation.STATS]
+    frame = spark.createDataFrame(stats.assign(_id=np.arange(n)))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "quality": good.astype("int32")}))
+    learnt = stats[good]
+    usual = []
+    for x, q in [(learnt.n_repeat_words, 0.999), (learnt.n_dup_lines, 0.999), (learnt.word_chars, 0.001), (learnt.word_chars, 0.999)]:
+        share = x / learnt.n_words
+        usual.append(np.median(share) + isolation.MARGIN * (np.quantile(share, q) - np.median(share)))
+    for coalesced in ("true", "false"):  # one range of values, and several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            rules = isolation.fit(frame, labels)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        found = rules.usual
+        assert np.allclose([found.words, found.lines, found.short, found.long], usual, rtol=1e-12, atol=0)
+        scores = rules.forest.score(isolation.features(stats, found))
+        want = calibrate(scores, good, isolation.GOOD_LOSS)
+        assert np.isfinite(want) and abs(rules.threshold - want) < 1e-12
+        assert 0 < (scores[good] >= rules.threshold).mean() <= isolation.GOOD_LOSS
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = np.random.default_rng(6)
+    drawn = pd.DataFrame({"rule": rng.choice(["a", "b"], 400), "value": rng.integers(0, 60, 400) / 7})
+    drawn = pd.concat([drawn[drawn.rule == r][:150] for r in "ab"])
+    rows = drawn.groupby(["rule", "value"]).size().rename("n").reset_index()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = isolation.running(spark.createDataFrame(rows), ["rule"], "value", ["n"]).toPandas().sort_values(["rule", "value"])
+        assert out["n_to"].tolist() == rows.groupby("rule")["n"].cumsum().tolist()
+        shares = [0.0, 0.001, 0.5, 0.73, 0.999, 1.0]
+        got = isolation.quantiles(spark.createDataFrame(rows), 150, shares)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in "ab":
+        assert np.allclose(got[r], np.quantile(drawn[drawn.rule == r]["value"], shares), rtol=1e-12)
+    one = spark.createDataFrame([("a", 2.5, 1)], "rule string, value double, n long")
+    assert isolation.quantiles(one, 1, [0.5, 0.999]) == {"a": [2.5, 2.5]}
+
+
+def test_threshold_of_a_table_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(7)
+    for loss in (0.0, 0.1, 1.0):
+        for _ in range(3):
+            s, g = rng.integers(0, 12, 60) / 16, rng.random(60) < 0.7
+            table = spark.createDataFrame(pd.DataFrame({"score": s, "good": g.astype(int), "bad": (~g).astype(int)}))
+            assert isolation.calibrate_table(table, int(g.sum()), int((~g).sum()), loss) == calibrate(s, g, loss)
+    assert isolation.calibrate_table(table, 0, 3, 0.1) == float("inf") == isolation.calibrate_table(table, 3, 0, 0.1)
+
+
 def test_labels_held_out_of_the_calibration(spark, world):
     rows, labels = corpus(800)
     learnt, held = [x for x in labels if x[0] % 4 == 0], [x for x in labels if x[0] % 4]
