@@ -220,13 +220,14 @@ def delta_line(comparison: Column) -> Column:
 def ablation_table(preds: DataFrame, n_boot: int = 10_000, seed: int = 0) -> DataFrame:
     """A row for each comparison both of whose arms are there."""
     arms = {r["arm"] for r in preds.select("arm").distinct().collect()}  # a handful
-    out = None
-    for name, a, b, headline in COMPARISONS:
-        if a in arms and b in arms:
-            row = cluster_bootstrap(preds, a, b, n_boot, seed).select(F.lit(name).alias("comparison"), F.lit(headline).alias("headline"), "*")
-            out = row if out is None else out.unionByName(row)
-    if out is None:
+    found = [c for c in COMPARISONS if c[1] in arms and c[2] in arms]
+    if not found:
         raise ValueError("no comparison has both of its arms")
+    rows = cluster_bootstraps(preds, [(a, b) for _, a, b, _ in found], n_boot, seed)
+    out = None
+    for (name, _, _, headline), row in zip(found, rows, strict=True):
+        row = row.select(F.lit(name).alias("comparison"), F.lit(headline).alias("headline"), "*")
+        out = row if out is None else out.unionByName(row)
     return out.withColumn("report_line", delta_line(F.col("comparison")))
 
 

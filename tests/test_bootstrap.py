@@ -78,3 +78,14 @@ def test_bootstrap_against_a_count(spark):
 def test_bootstrap_in_many_tasks(spark, small):
     rows, df = predictions(spark)
     same(bootstrap.cluster_bootstrap(df, "c_gold_weak", "b_gold_oversampled", n_boot=25).first(), counted(rows, "c_gold_weak", "b_gold_oversampled", 25))
+
+
+def test_comparisons_of_a_table_share_the_draws(spark, small, monkeypatch):
+    rows, df = predictions(spark)
+    calls = []
+    own = bootstrap.deltas
+    monkeypatch.setattr(bootstrap, "deltas", lambda *a: calls.append(1) or own(*a))
+    table = {r["comparison"]: r for r in bootstrap.ablation_table(df, n_boot=25).collect()}
+    same(table["C-B"], counted(rows, "c_gold_weak", "b_gold_oversampled", 25))
+    same(table["A-B"], counted(rows, "a_gold", "b_gold_oversampled", 25))
+    assert table["C-B"]["headline"] and len(calls) == 1
